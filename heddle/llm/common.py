@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +52,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the shuffle files behind a written table have had their use; Spark drops them with their handles
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of Parquet up to which a join's smaller side is broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+
+
+def fitted_join(rows: DataFrame, side: DataFrame, on: list[str], how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined null-safely with a written side: broadcast if its files are small, else by a shuffle whose hot keys Spark splits."""
+    side = materialise(side, "side")
+    spark = side.sparkSession
+    size = 0
+    for f in side.inputFiles()[:1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    named = side.toDF(*(f"side_{c}" for c in side.columns))
+    if size <= most:
+        named = F.broadcast(named)
+    match = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(named[f"side_{c}"]) for c in on))
+    out = rows.join(named, match, how).drop(*(f"side_{c}" for c in on))
+    return out.withColumnsRenamed({f"side_{c}": c for c in side.columns if c not in on})
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): (id, root), root the smallest id that is reachable; ids without links are absent.
 

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm.bpe import encode_documents
 from heddle.llm.common import table
 from heddle.llm.exact_dedup import exact_dedup
+from heddle.llm.suffix_dedup import removal_digest
 from heddle.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_round_trip(table(spark, sf_dir, "pages"), min_payload=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -30,6 +35,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
