@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Members of groups are compared with the keeper's bytes; a fingerprint whose texts differ is split by the bytes.
     members = materialise(rows.join(repeated.drop("group_size"), ["key", "sha"]), "members")
     first = members.where("doc_id <=> keep_id").groupBy("key", "sha").agg(F.min("norm").alias("first_norm"))
-    differs = members.join(first, ["key", "sha"]).where("norm <> first_norm").select("key", "sha").distinct()
+    differs = members.join(first, ["key", "sha"]).where("norm <> first_norm")
     if not differs.isEmpty():
         return _by_bytes(rows)
 
