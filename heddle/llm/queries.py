@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm.bpe import encode_documents
 from heddle.llm.common import table
 from heddle.llm.exact_dedup import exact_dedup
+from heddle.llm.lm_scoring import score_documents
 from heddle.llm.packing import pack_documents
 from heddle.llm.suffix_dedup import removal_digest
 from heddle.llm.warc import warc_round_trip
@@ -39,12 +40,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op9_packing": op9_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
