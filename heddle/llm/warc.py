@@ -244,7 +244,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if n != n_records:
                     raise WarcError(f"{path} has {n} records, not {n_records}")
 
-    spread = manifest.select("path", "n_records").repartition(F.col("path"))
+    tasks = max(1, min(manifest.count(), 4096))  # given as a number, so that small manifest partitions aren't put together
+    spread = manifest.select("path", "n_records").repartition(tasks, "path")
     return spread.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
