@@ -1,9 +1,61 @@
-"""The corpus pipeline: documents through the filtering and deduplication stages into packed sequences."""
+"""The corpus pipeline: documents go through quality, line, near-duplicate and substring filters into packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the last one returns packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from heddle.llm.common import materialise, table
+from heddle.llm.line_dedup import remove_lines
+from heddle.llm.packing import pack_documents
+from heddle.llm.quality import keep_quality, train
+from heddle.llm.simhash_dedup import keep_one
+from heddle.llm.suffix_dedup import remove_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte-level network, fitted on the labelled ones, gives 0.5 or more."""
+    return keep_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that resemble an earlier line."""
+    return remove_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that repeated strings of 200 bytes cover."""
+    return remove_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", substring_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: None: no stage but the joins between them can be written in SQL; tests compare each with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after another, from the documents table."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each one's rows written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from heddle.llm.bpe import encode_documents
 from heddle.llm.common import table
 from heddle.llm.exact_dedup import exact_dedup
+from heddle.llm.line_dedup import line_digest
 from heddle.llm.lm_scoring import score_documents
 from heddle.llm.packing import pack_documents
 from heddle.llm.quality import held_out_scores
+from heddle.llm.simhash_dedup import near_duplicates
 from heddle.llm.suffix_dedup import removal_digest
 from heddle.llm.topk import top_k
 from heddle.llm.warc import warc_round_trip
@@ -39,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +53,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,9 +69,11 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_topk": op7_topk,
+    "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }

@@ -33,7 +33,7 @@ from heddle.llm.windows import PIECE, anchors, window_hashes
 MIN_BYTES = 200
 ANCHOR_BYTES = 64
 #: Distinct runs of one name that a task compares at once.
-HOT_RUNS = 20_000
+HOT_RUNS = 1000
 #: Bytes of runs that a task gathers before it compares them.
 GATHER_BYTES = 4 << 20
 
