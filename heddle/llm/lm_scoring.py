@@ -232,11 +232,11 @@ def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> l
     least = 0
     while sum(n for b, n in sizes.items() if b >= least) > max_nodes:
         least += 1
-    kept = nodes.where(F.col("n") >= 1 << least).toPandas()
+    kept = nodes.where(F.col("n") >= 1 << least).toArrow()  # max_nodes rows at most
+    level_of, grams, times = (kept.column(c).to_numpy() for c in ("m", "gram", "n"))
     out = []
     for m in range(order + 1, 0, -1):
-        part = kept[kept["m"] == m]
-        keys, counts = part["gram"].to_numpy(np.int64).view(U), part["n"].to_numpy(np.int64)
+        keys, counts = grams[level_of == m].view(U), times[level_of == m]
         sort = np.argsort(keys)
         out.append((keys[sort], counts[sort]))
     return out
@@ -283,10 +283,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = training.count()
     n, v = sums.n + ends, sums.v + (ends > 0)
     below = math.log10(n + 0.5 * (v + 1))
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).collect()  # head_words rows at most
+    top = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # head_words rows at most
+    words, times = top.column("word").to_pylist(), top.column("c").to_pylist()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((levels, {bytes(r.word): r.c for r in top}))
-    least = top[-1] if len(top) == head_words else None
+    shared = spark.sparkContext.broadcast((levels, dict(zip(words, times, strict=True))))
+    least = (times[-1], words[-1]) if len(words) == head_words else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, counts = shared.value
@@ -317,7 +318,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = materialise(rows.mapInArrow(run, schema), "scored")
     out = scored.drop("rare", "times").withColumn("train_tokens", F.lit(n).cast("long"))
     if least is not None:  # words beyond the head that the training texts have
-        tail = vocabulary.where((F.col("c") < least.c) | ((F.col("c") == least.c) & (F.col("word") > F.lit(bytearray(least.word)))))
+        tail = vocabulary.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
         seen = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
         gain = seen.join(tail, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("gain"))
         out = out.join(gain, "row", "left")
