@@ -26,7 +26,7 @@ from heddle.llm.common import materialise
 
 MAX_TOKENS = 4096
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 @dataclass(frozen=True)
@@ -180,8 +180,8 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids): each text's ids, then end_id, cut into pieces of max_tokens; the last may be shorter.
+def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 [, ids]): each text's ids, then end_id, cut into pieces of max_tokens; the last may be shorter.
 
     A null text is empty, so that its one piece is the end id.
     """
@@ -191,16 +191,21 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_
         encode = word_encoder(path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out = []
+                out, kept = [], []
                 for doc, text in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512], strict=True):
-                    ids = np.append(encode(text.as_py().decode("utf-8", "replace")), np.uint32(end_id))
+                    ids = np.append(encode(text.as_py().decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4", copy=False)
                     for k, start in enumerate(range(0, len(ids), max_tokens)):
                         part = ids[start : start + max_tokens]
-                        out.append((doc, k, start, len(part), part.astype("<i4")))
-                a, b, c, d, e = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.list_(pa.int32()))], ["doc_id", "piece", "start", "length", "ids"])
+                        out.append((doc, k, start, len(part), zlib.crc32(part.data)))
+                        if with_ids:
+                            kept.append(part.astype("<i4"))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                if with_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
 def ranked(rows: DataFrame, by: str = "length") -> DataFrame:
@@ -265,11 +270,4 @@ def _place(p: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tu
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Tokenises and packs docs: (doc_id, piece, start, length, ids_crc32 [, ids], sequence_id, offset)."""
-    pieces = tokenise(docs, path, end_id, limits.tokens, id_col, text_col)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
-
-    columns = ["doc_id", "piece", "start", "length", crc("ids").alias("ids_crc32"), *(["ids"] if ids else [])]
-    return pack(pieces.select(*columns), limits)
+    return pack(tokenise(docs, path, end_id, limits.tokens, id_col, text_col, ids), limits)
