@@ -47,12 +47,16 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs one task's rows at most."""
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs one task's rows at most.
+
+    free: the shuffle files behind it were large; Spark drops them once their handles are collected.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    spark._jvm.System.gc()  # the shuffle files behind a written table have had their use; Spark drops them with their handles
+    if free:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

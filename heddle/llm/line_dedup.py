@@ -241,7 +241,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialise(sets.repartitionByRange("late", "doc", "mark", "no").sortWithinPartitions("late", "doc", "mark", "no").withColumn("id", F.monotonically_increasing_id()), "sets")
 
     asked = sets.groupBy("doc", "mark").agg(F.collect_list("no").alias("nos"), F.collect_list("id").alias("ids"))
-    postings = materialise(_postings(keyed, asked, ranked, threshold).where(F.col("size") >= _least_size(threshold)), "postings")
+    postings = materialise(_postings(keyed, asked, ranked, threshold).where(F.col("size") >= _least_size(threshold)), "postings", free=True)
     crowded = materialise(postings.groupBy("token").count().where(F.col("count") > many).select("token"), "crowded")
     some = not crowded.isEmpty()
     few = postings.join(crowded, "token", "left_anti") if some else postings
@@ -252,7 +252,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for by in (["token", "salt"], ["token"]):
             salted = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= earliest)
         pairs = pairs.union(_pairs(hot, salted.select(hot.columns), threshold)).distinct()
-    similar = materialise(_verified(pairs, sets, keyed, threshold), "similar")
+    similar = materialise(_verified(pairs, sets, keyed, threshold), "similar", free=True)
     if some:
         alone = hot.join(similar, "id", "left_anti").select(hot.columns)
         similar = materialise(similar.union(_verified(_pairs(alone, hot, threshold), sets, keyed, threshold)).distinct(), "similar")

@@ -220,7 +220,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
     """The model's levels from all rows of texts(text binary); nodes below the least threshold that fits max_nodes are pruned."""
-    level = materialise(count_grams(texts, order), "grams")
+    level = materialise(count_grams(texts, order), "grams", free=True)
     tables = [level.select(F.lit(order + 1).alias("m"), "gram", "n")]
     for m in range(order, 0, -1):
         level = materialise(level.groupBy(F.col("gram").bitwiseAND((1 << 8 * m) - 1).alias("gram")).agg(F.sum("n").alias("n")), "grams")
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), text)
     training = rows.where("not held_out").select("text")
     levels = train(training, order, max_nodes)
-    vocabulary = materialise(count_words(training), "vocabulary")
+    vocabulary = materialise(count_words(training), "vocabulary", free=True)
     sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = training.count()
     n, v = sums.n + ends, sums.v + (ends > 0)

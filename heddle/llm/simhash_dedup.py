@@ -4,8 +4,7 @@ A document is the set of its five-word shingles. Each distinct word sequence is
 sent to one shard for each of several min-hashes: two documents of similarity s meet in a shard with probability s, so
 six shards miss one pair in 15,000 at 0.8, and the work grows with the number of nodes. Inside a shard a node's
 neighbours within the radius are found, nearest first; edges are verified on the whole shingle sets, and verified edges
-are joined into classes. Nodes whose neighbour lists overflow go on searching beyond their own class until no class
-grows. Recall is audited against an exact search of all nodes by a sample of them, and more shards are added if it is low.
+are joined into classes. Nodes whose neighbour lists overflow search again with wider beams, beyond their own class. Recall is audited against an exact search of all nodes by a sample of them, and more shards are added if it is low.
 """
 
 from __future__ import annotations
@@ -233,33 +232,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, tried: DataFrame | None, threshold: Fraction, width: int, radius: int, neighbours: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Searches the shards and adds verified edges, until no node with an overflowing list finds another class."""
-    asking, step = None, 0
+    """Searches the shards and adds verified edges. Nodes whose list overflows search again with a beam eight times as
+    wide, beyond their own class only, until no list overflows; a beam of two shards' nodes can't."""
+    asking, beam = None, neighbours
     while True:
         labels = materialise(_labels(nodes.select("id"), edges), "labels")
         sent = shards.join(labels, "id")
         sent = sent.withColumn("asks", F.lit(True)) if asking is None else sent.join(asking.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        found = materialise(_search(sent, radius, threshold, neighbours), "found")
-        new = found if tried is None else found.join(tried, ["a", "b"], "left_anti")
-        # The nearest two neighbours of each node first; of the other edges only those between classes that are still apart.
-        both = new.select(F.col("a").alias("n"), "a", "b", "distance").union(new.select("b", "a", "b", "distance"))
-        nearest = both.groupBy("n").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-        nearest = materialise(nearest, "nearest")
-        good = _verified(nearest, nodes, keyed, threshold, width)
-        edges = materialise(good if edges is None else edges.union(good), "edges")
-        now = _labels(nodes.select("id"), edges)
-        apart = new.join(nearest, ["a", "b"], "left_anti").select("a", "b")
-        apart = apart.join(now.toDF("a", "ga"), "a").join(now.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
-        good = materialise(_verified(apart, nodes, keyed, threshold, width), "good")
-        if not good.isEmpty():
-            edges = materialise(edges.union(good), "edges")
-        all_tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
-        tried = materialise(all_tried, "tried")
-        asking = found.where("over_a").select(F.col("a").alias("id")).union(found.where("over_b").select("b")).distinct()
-        asking = materialise(asking, "asking")
-        step += 1
-        if asking.isEmpty() or new.isEmpty() or step >= 64:
+        found = materialise(_search(sent, radius, threshold, beam), "found")
+        new = found.select("a", "b", "distance") if tried is None else found.join(tried, ["a", "b"], "left_anti").select("a", "b", "distance")
+        if asking is None:
+            # The nearest neighbour of each node first; of the other edges only those between classes that are still apart.
+            both = new.select(F.col("a").alias("n"), "a", "b", "distance").union(new.select("b", "a", "b", "distance"))
+            nearest = both.groupBy("n").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+            nearest = materialise(nearest, "nearest")
+            edges = _with(edges, _verified(nearest, nodes, keyed, threshold, width))
+            now = materialise(_labels(nodes.select("id"), edges), "labels")
+            apart = new.join(nearest, ["a", "b"], "left_anti").select("a", "b")
+            new = apart.join(now.toDF("a", "ga"), "a").join(now.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
+        edges = _with(edges, _verified(new, nodes, keyed, threshold, width))
+        tried = materialise(found.select("a", "b") if tried is None else tried.union(found.select("a", "b")).distinct(), "tried")
+        asking = materialise(found.where("over_a").select(F.col("a").alias("id")).union(found.where("over_b").select("b")).distinct(), "asking")
+        if asking.isEmpty():
             return edges, tried
+        beam *= 8
+
+
+def _with(edges: DataFrame | None, more: DataFrame) -> DataFrame:
+    return materialise(more if edges is None else edges.union(more), "edges")
 
 
 def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold: Fraction, width: int, radius: int, audited: int) -> float:

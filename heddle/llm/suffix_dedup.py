@@ -47,8 +47,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = with_key(docs, id_col, text_col)
     sampled = materialise(_samples(keyed, min_bytes), "samples")
     names = sampled.groupBy("name").agg(F.count("*").alias("n"), F.min("run").alias("least"), F.max("run").alias("most")).where("n > 1")
-    names = materialise(names.select("name", (F.col("least") == F.col("most")).alias("same")), "names")
-    repeated = materialise(sampled.join(names, "name"), "repeated")
+    names = materialise(names.select("name", (F.col("least") == F.col("most")).alias("same")), "names", free=True)
+    repeated = materialise(sampled.join(names, "name"), "repeated", free=True)
 
     mixed = repeated.where("not same")
     runs = mixed.groupBy("name", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "place")).alias("first"))
@@ -59,7 +59,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = whole.select("doc", "mark", start.alias("start"), (start + F.col("place").bitwiseAND(255) + (min_bytes - 1)).alias("end"))
 
     wide = runs.groupBy("name").count().where(F.col("count") > hot_runs).select("name")
-    texts = materialise(_run_texts(keyed, runs, min_bytes), "run-texts")
+    texts = materialise(_run_texts(keyed, runs, min_bytes), "run-texts", free=True)
     edges = _edges(texts.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "name", "left_anti"), min_bytes)
     if not wide.isEmpty():
         edges = edges.union(_wide_edges(texts.join(wide, "name"), min_bytes))
