@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import google as g
+from heddle.operators import profile as pf
 from heddle.operators import relational as rel
+from heddle.plans import joinorder as jo
+from heddle.plans import models as md
 from heddle.session import load
+from heddle.streaming import incremental as inc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,3 +316,167 @@ def _(t):
 
 sql("q_fn_cast", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS i, CAST(l_linenumber AS STRING) AS s, TRY_CAST(l_returnflag AS BIGINT) AS n, CAST(l_shipdate AS DATE) AS d, CAST('12.5' AS DOUBLE) AS x, CAST(l_discount AS DECIMAL(9,2)) AS dec FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS i, CAST(l_linenumber AS VARCHAR) AS s, TRY_CAST(l_returnflag AS BIGINT) AS n, CAST(l_shipdate AS DATE) AS d, CAST('12.5' AS DOUBLE) AS x, CAST(l_discount AS DECIMAL(9,2)) AS dec FROM lineitem")
 
+
+# --- jobs over tables ------------------------------------------------------------------------------------------------
+
+
+def _profile_oracle(table: str, numeric: list[str], text: list[str]) -> str:
+    parts = []
+    for c in numeric:
+        parts.append(f"SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {c}) AS distinct_values, MIN({c})::DOUBLE AS min_number, MAX({c})::DOUBLE AS max_number, ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS stddev, quantile_cont({c}::DOUBLE, 0.5) AS median, NULL::BIGINT AS min_length, NULL::BIGINT AS max_length, COUNT(DISTINCT {c}) = COUNT(*) AS is_unique FROM {table}")
+    for c in text:
+        parts.append(f"SELECT '{c}', COUNT(*), COUNT(*) - COUNT({c}), COUNT(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, MIN(LENGTH({c})), MAX(LENGTH({c})), COUNT(DISTINCT {c}) = COUNT(*) FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("q_profile_orders", _profile_oracle("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]))
+def _(t):
+    p = pf.profile(t("orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
+    return p.select("column_name", "rows", "nulls", "distinct_values", "min_number", "max_number", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "median", "min_length", "max_length", "is_unique")
+
+
+@query("q_top_values", "SELECT o_orderpriority AS value, COUNT(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
+def _(t):
+    return pf.top_values(t("orders"), "o_orderpriority", 3)
+
+
+_H = "CAST(SUM(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)) AS VARCHAR)"
+
+
+@query("q_fingerprint", " UNION ALL ".join(f"SELECT '{n}' AS column_name, COUNT(*) AS row_count, {_H.format(v)} AS checksum FROM customer" for n, v in (("*", "c_custkey::VARCHAR || chr(31) || c_mktsegment || chr(31) || c_name"), ("c_custkey", "c_custkey::VARCHAR"), ("c_mktsegment", "c_mktsegment"), ("c_name", "c_name"))))
+def _(t):
+    return pf.fingerprint(t("customer"), ["c_custkey", "c_name", "c_mktsegment"], "md5")
+
+
+@query("q_fingerprint_compare", "SELECT * FROM (VALUES ('*', false), ('o_orderkey', true), ('o_orderstatus', false)) AS v(column_name, matches)")
+def _(t):
+    before = t("orders").select("o_orderkey", "o_orderstatus")
+    after = before.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 5, "X").otherwise(F.col("o_orderstatus")))
+    return pf.compare_fingerprints(pf.fingerprint(before), pf.fingerprint(after))
+
+
+@query("q_diff_keyed", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 1 THEN 'changed' END AS change, CASE WHEN c_custkey % 10 = 1 THEN 'c_acctbal,c_name' END AS changed_columns FROM customer WHERE c_custkey % 10 < 2")
+def _(t):
+    before = t("customer")
+    hit = F.col("c_custkey") % 10 == 1
+    after = before.where("c_custkey % 10 <> 0").withColumns({"c_acctbal": F.when(hit, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")), "c_name": F.when(hit, F.lit("x")).otherwise(F.col("c_name"))})
+    return pf.diff_keyed(before, after, ["c_custkey"])
+
+
+@query("q_diff_bags", "SELECT k, SUM(d)::BIGINT AS difference FROM (SELECT c_nationkey AS k, -1 AS d FROM customer UNION ALL SELECT s_nationkey, 1 FROM supplier) GROUP BY k HAVING SUM(d) <> 0")
+def _(t):
+    return pf.diff_bags(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("q_violations", "SELECT 'not_null(o_custkey)' AS rule, (SELECT COUNT(*) FROM orders WHERE o_custkey IS NULL) AS n UNION ALL SELECT 'unique(o_custkey)', (SELECT COUNT(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1)) UNION ALL SELECT 'foreign(o_custkey)', (SELECT COUNT(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 100))")
+def _(t):
+    return pf.violations(t("orders"), ["o_custkey"], [["o_custkey"]], [("o_custkey", t("customer").where("c_custkey > 100"), "c_custkey")])
+
+
+@query("q_tie_sites", "SELECT o_custkey, o_orderdate, COUNT(*) AS count FROM orders GROUP BY ALL HAVING COUNT(*) > 1")
+def _(t):
+    return pf.row_order(t("orders"), ["o_custkey", "o_orderdate"])
+
+
+@query("q_join_statistics", "WITH c AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY 1), h AS (SELECT * FROM c ORDER BY n DESC, k LIMIT 20) SELECT 'v' || k AS bin, n, 1::BIGINT AS distinct_values FROM h UNION ALL SELECT 'r0', SUM(n)::BIGINT, COUNT(*) FROM c WHERE k NOT IN (SELECT k FROM h)")
+def _(t):
+    return pf.key_bins(t("orders"), "o_custkey", heavy=20, bins=1)
+
+
+@query("q_join_order", f"SELECT n_name, COUNT(*) AS n, {_MONEY.format('l_extendedprice')} AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000 AND n_regionkey = 2 GROUP BY n_name")
+def _(t):
+    q = jo.JoinQuery(
+        {n: t(n) for n in ("lineitem", "orders", "customer", "supplier", "nation")},
+        [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey")],
+        {"orders": F.col("o_totalprice") > 200000, "nation": F.col("n_regionkey") == 2},
+    )
+    _, plan = jo.optimize(q, jo.Statistics.collect(q))
+    return jo.emit(q, plan).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("double").alias("revenue"))
+
+
+@query("q_view_reuse", "SELECT l_returnflag, COUNT(*) AS n, SUM(l_linenumber)::BIGINT AS s, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    summary = t("lineitem").groupBy("l_returnflag", "l_linestatus", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    return md.roll_up(summary, ["l_returnflag"], {"n": "count", "s": "sum", "lo": "min", "hi": "max"})
+
+
+_PIPELINE = {
+    "m_orders": "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice * 2 AS twice, o_orderstatus AS status FROM s_orders",
+    "m_customers": "SELECT c_custkey AS c, c_name AS name FROM s_customer",
+    "m_joined": "SELECT m_customers.name AS who, SUM(m_orders.twice) AS total FROM m_orders JOIN m_customers ON m_orders.c = m_customers.c GROUP BY m_customers.name",
+}
+
+
+@query("q_column_lineage", "SELECT * FROM (VALUES ('m_orders','k','o_orderkey'),('m_orders','c','o_custkey'),('m_orders','twice','o_totalprice'),('m_orders','status','o_orderstatus'),('m_customers','c','c_custkey'),('m_customers','name','c_name'),('m_joined','who','c_name'),('m_joined','total','o_totalprice')) AS v(model, column_name, source)")
+def _(t):
+    t("orders").createOrReplaceTempView("s_orders")
+    t("customer").createOrReplaceTempView("s_customer")
+    return md.Pipeline(_PIPELINE).columns(t("orders").sparkSession)
+
+
+@query("q_impact", "SELECT * FROM (VALUES ('s_orders', 0), ('m_orders', 1), ('m_joined', 2)) AS v(node, distance)")
+def _(t):
+    return md.reach(md.Pipeline(_PIPELINE).edges(t("region").sparkSession), ["s_orders"])
+
+
+@query("q_cost_attribution", "WITH p AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'm_orders' ELSE 'm_joined' END AS model, event_id AS bytes, user_id AS slot_ms FROM events) SELECT model, COUNT(*) AS runs, SUM(bytes)::BIGINT AS bytes, SUM(slot_ms)::BIGINT AS slot_ms, ROUND(SUM(bytes) / (SELECT SUM(bytes) FROM p), 6) AS share, CASE WHEN model = 'm_orders' THEN 1 ELSE 0 END::BIGINT AS feeds FROM p GROUP BY model")
+def _(t):
+    jobs = t("events").select(F.when(F.col("event_type").isin("click", "view"), "m_orders").otherwise("m_joined").alias("target"), F.col("event_id").alias("bytes"), F.col("user_id").alias("slot_ms"))
+    return md.attribute_costs(jobs, md.Pipeline(_PIPELINE).edges(jobs.sparkSession))
+
+
+# --- incremental and streaming ---------------------------------------------------------------------------------------
+
+
+def _batches(events: DataFrame, n: int = 4) -> list[DataFrame]:
+    return [events.where(F.pmod(F.col("event_id"), F.lit(n)) == i) for i in range(n)]
+
+
+@query("q_incremental_replay", "SELECT user_id, COUNT(*) AS n, MAX(event_id) AS last_event FROM events GROUP BY user_id")
+def _(t):
+    full = lambda d: d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+    return inc.replay(inc.Model(full, inc.reaggregate_groups(["user_id"], full)), _batches(t("events")), lambda d: d.checkpoint())[0]
+
+
+@query("q_incremental_dedup", "SELECT user_id, MAX(event_id) AS event_id FROM events GROUP BY user_id")
+def _(t):
+    full = lambda d: d.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    step = inc.newest_for_key(["user_id"], F.desc("event_id"))
+    return inc.replay(inc.Model(full, step), _batches(t("events")), lambda d: d.checkpoint())[0]
+
+
+@query("q_merge_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 5.0")
+def _(t):
+    target = t("customer").select("c_custkey", "c_acctbal")
+    source = target.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(0.0)).union(target.sparkSession.createDataFrame([(-1, 5.0)], target.schema))
+    return rel.upsert(target, source, ["c_custkey"])
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
+
+
+def _state(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root}/heddle-streams/{uuid.uuid4().hex}"
+
+
+def _streaming_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = inc.windowed_counts(_stream(spark, folder).withColumn("t", F.col("ts").cast("timestamp")), "t", ["event_type"], "1 hour", "1 day")
+    out = inc.run_once(counts, f"counts_{uuid.uuid4().hex}", _state(spark), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+QUERIES["q_streaming_window"] = _streaming_counts
+ORACLE["q_streaming_window"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY ALL"
+
+
+def _streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    stream = _stream(spark, folder).withColumn("t", F.col("ts").cast("timestamp"))
+    out = inc.run_once(inc.deduplicated(stream, "t", ["event_id"], "1 hour").select("event_id", "user_id"), "dedup", _state(spark))
+    return out
+
+
+QUERIES["q_streaming_dedup"] = _streaming_dedup
+ORACLE["q_streaming_dedup"] = "SELECT DISTINCT event_id, user_id FROM events"
