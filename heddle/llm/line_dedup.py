@@ -19,53 +19,21 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import fitted_join, materialise
 from heddle.llm.lm_scoring import _summed
+from heddle.llm.words import hashed_words, sets_of
 
 THRESHOLD = Fraction(4, 5)
 #: Most frequent tokens, whose order is their count; all others are rarer than these and ordered by their hash.
 RANKED = 100_000
 #: Lines with one posted token, from which on its earliest lines are tried first; and how many of those.
 MANY, EARLIEST = 64, 32
-_CACHED = 400_000
 U = np.uint64
 
 
-class Tokens:
-    """Words to 64-bit hashes, each word hashed once for a worker."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.hashes = np.empty(1024, U)
-
-    def flat(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > _CACHED:
-            known.clear()
-        for w in set(words).difference(known):
-            n = len(known)
-            if n == len(self.hashes):
-                self.hashes = np.append(self.hashes, np.empty_like(self.hashes))
-            self.hashes[n] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-            known[w] = n
-        return self.hashes[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-
-    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All lines' sets one after another, each sorted by hash, and the sets' sizes."""
-        split = [line.lower().split() for line in lines]
-        words = [w for s in split for w in s]
-        row = np.repeat(np.arange(len(split)), [len(s) for s in split])
-        h = self.flat(words)
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, bool)
-        return h[new], np.bincount(row[new], minlength=len(lines))
-
-
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
     x = (h ^ U(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) * U(0xBF58476D1CE4E5B9)
     return (x ^ (x >> U(31))) * U(0x94D049BB133111EB)
@@ -80,15 +48,6 @@ def _reduce(how: np.ufunc, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-_ENCODER: list[Tokens] = []
-
-
-def _tokens() -> Tokens:
-    if not _ENCODER:
-        _ENCODER.append(Tokens())
-    return _ENCODER[0]
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -98,7 +57,6 @@ def _scan(keyed: DataFrame) -> DataFrame:
     """Rows of two kinds: (0, doc, mark, no, set key) for each line with words, (1, ..., token, count) for token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens()
         names = ["kind", "doc", "mark", "no", "a", "b"]
         zeros = lambda n: pa.array(np.zeros(n, np.int64))
         keys, counts, pending = np.empty(0, U), np.empty(0, np.int64), []
@@ -109,8 +67,8 @@ def _scan(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lines, row, no = _split(part.column(2))
-                h, sizes = tokens.lines(lines)
+                h, line, row, no = hashed_words(_lower(part.column(2).to_pylist()))
+                h, sizes = sets_of(h, line, len(row))
                 full = np.flatnonzero(sizes)
                 first, second = _reduce(np.add, _mix(h, 1), sizes)[full], _reduce(np.bitwise_xor, _mix(h, 2), sizes)[full]
                 taken = pa.array(row[full])
@@ -128,25 +86,25 @@ def _scan(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "kind int, doc long, mark long, no int, a long, b long")
 
 
-def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All lines of some texts, with their row and number."""
-    parts = [t.split("\n") for t in texts.to_pylist()]
-    n = np.array([len(p) for p in parts], np.int64)
-    return [line for p in parts for line in p], np.repeat(np.arange(len(parts)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+def _lower(texts: list[str]) -> list[bytes]:
+    return [t.lower().encode("utf-8", "replace") for t in texts]
 
 
-def _chosen_lines(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-    """The lines that a row's list asks for, and their ids; columns text, nos, ids."""
-    lines, ids = [], []
-    for text, nos, given in zip(*(batch.column(c).to_pylist() for c in ("text", "nos", "ids")), strict=True):
-        split = text.split("\n")
-        lines += [split[n] for n in nos]
-        ids += given
-    return lines, np.array(ids, np.int64)
+def _chosen_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of the lines that a row's list asks for, their sizes and the lines' ids; columns text, nos, ids."""
+    h, line, text_of, _ = hashed_words(_lower(batch.column("text").to_pylist()))
+    nos, ids = batch.column("nos"), batch.column("ids").flatten().to_numpy()
+    per_text = np.bincount(text_of, minlength=batch.num_rows)
+    asked = np.repeat(np.cumsum(per_text) - per_text, np.diff(nos.offsets.to_numpy())) + nos.flatten().to_numpy()
+    place = np.full(len(text_of), -1)
+    place[asked] = np.arange(len(asked))
+    row = place[line]
+    h, sizes = sets_of(h[row >= 0], row[row >= 0], len(asked))
+    return h, sizes, ids
 
 
 def _postings(keyed: DataFrame, asked: DataFrame, ranked: np.ndarray, threshold: Fraction) -> DataFrame:
-    """(token, id, size, pos, s1, s2): the prefixes of the asked lines."""
+    """(token, id, place, s1, s2): the prefixes of the asked lines; place holds the set's size and, in 20 bits, the token's position."""
     rows = fitted_join(keyed, asked, ["doc", "mark"], "inner").select("text", "nos", "ids")
     by_hash = np.argsort(ranked)
     shared = keyed.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))  # RANKED numbers at most
@@ -154,15 +112,12 @@ def _postings(keyed: DataFrame, asked: DataFrame, ranked: np.ndarray, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_hashes, rank_of = shared.value
-        tokens = _tokens()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                lines, ids = _chosen_lines(batch.slice(at, 256))
-                h, sizes = tokens.lines(lines)
-                row = np.repeat(np.arange(len(lines)), sizes)
-                i = np.minimum(np.searchsorted(sorted_hashes, h), max(0, len(sorted_hashes) - 1))
-                rank = np.where(sorted_hashes[i] == h, -rank_of[i], -len(rank_of)) if len(sorted_hashes) else np.zeros(len(h), np.int64)
-                order = np.lexsort((h, rank, row))
+                h, sizes, ids = _chosen_sets(batch.slice(at, 256))
+                places = _places(h, sorted_hashes, rank_of)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(row << 50 | places) if len(sizes) < 8192 else np.lexsort((places, row))
                 pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 prefix = sizes - -(-sizes * num // den) + 1
                 in_prefix = pos < prefix[row]  # row is sorted already, so positions fit the new order
@@ -171,9 +126,18 @@ def _postings(keyed: DataFrame, asked: DataFrame, ranked: np.ndarray, threshold:
                 s2 = _reduce(np.bitwise_xor, np.where(h & U(64), bit, U(0)), sizes)
                 kept = h[order][in_prefix]
                 r = row[in_prefix]
-                yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(ids[r]), pa.array(sizes[r].astype(np.int32)), pa.array(pos[in_prefix].astype(np.int32)), pa.array(s1[r].view(np.int64)), pa.array(s2[r].view(np.int64))], ["token", "id", "size", "pos", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(ids[r]), pa.array(sizes[r] << 20 | pos[in_prefix] & 0xFFFFF), pa.array(s1[r].view(np.int64)), pa.array(s2[r].view(np.int64))], ["token", "id", "place", "s1", "s2"])
+
+    return rows.mapInArrow(run, "token long, id long, place long, s1 long, s2 long")
+
 
-    return rows.mapInArrow(run, "token long, id long, size int, pos int, s1 long, s2 long")
+def _places(hashes: np.ndarray, sorted_hashes: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
+    """50-bit sort keys of tokens: first those beyond the ranked ones, by their hash, then the ranked ones, rarest first."""
+    rare = (hashes >> U(15)).astype(np.int64)
+    if not len(sorted_hashes):
+        return rare
+    i = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[i] == hashes, (1 << 50) - 1 - rank_of[i], rare)
 
 
 def _sets(keyed: DataFrame, asked: DataFrame) -> DataFrame:
@@ -183,8 +147,7 @@ def _sets(keyed: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                lines, ids = _chosen_lines(batch.slice(at, 256))
-                h, sizes = _tokens().lines(lines)
+                h, sizes, ids = _chosen_sets(batch.slice(at, 256))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "tokens"])
 
     return rows.mapInArrow(run, "id long, tokens array<long>")
@@ -193,14 +156,16 @@ def _sets(keyed: DataFrame, asked: DataFrame) -> DataFrame:
 def _filters(threshold: Fraction) -> Column:
     """On postings x and y of one token, y the earlier: what the sets' sizes, the positions and the sketches leave possible."""
     num, den = threshold.numerator, threshold.denominator
-    both = F.col("x.size") + F.col("y.size")
-    overlap = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) - 1
+    sx, sy = F.shiftright("x.place", 20), F.shiftright("y.place", 20)
+    px, py = F.col("x.place").bitwiseAND(0xFFFFF), F.col("y.place").bitwiseAND(0xFFFFF)
+    overlap = F.least(px, py) + F.least(sx - px, sy - py)
+    long = (sx >= 1 << 20) | (sy >= 1 << 20)  # positions don't fit the bits: no positional filter
     differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     return (
         (F.col("y.id") < F.col("x.id"))
-        & (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num)
-        & (overlap * (num + den) >= both * num)
-        & (differ * (num + den) <= both * (den - num))
+        & (differ * (num + den) <= (sx + sy) * (den - num))
+        & (F.least(sx, sy) * den >= F.greatest(sx, sy) * num)
+        & (long | (overlap * (num + den) >= (sx + sy) * num))
     )
 
 
@@ -227,7 +192,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines end at line feeds and are ordered by the document's id (nulls last), its text's hash and their number. A line
     is removed if an earlier one, removed or not, has a Jaccard similarity of at least threshold. Lines without words
-    never match. Rows that repeat an id and a text are one document. Tokens are told apart by 64-bit hashes.
+    never match. Words end at ASCII white space. Rows that repeat an id and a text are one document. Tokens are told apart by 64-bit hashes.
     """
     keyed = _keyed(docs, id_col, text_col)
     found = materialise(_scan(keyed), "lines")
@@ -238,10 +203,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.struct(F.col("doc").isNull().alias("late"), "doc", "mark", "no")
     sets = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     sets = sets.select("a", "b", "n", "first.late", "first.doc", "first.mark", "first.no")
-    sets = materialise(sets.repartitionByRange("late", "doc", "mark", "no").sortWithinPartitions("late", "doc", "mark", "no").withColumn("id", F.monotonically_increasing_id()), "sets")
+    sets = materialise(sets.repartitionByRange("late", "doc", "mark", "no").sortWithinPartitions("late", "doc", "mark", "no").withColumn("id", F.monotonically_increasing_id()), "sets", free=True)
 
     asked = sets.groupBy("doc", "mark").agg(F.collect_list("no").alias("nos"), F.collect_list("id").alias("ids"))
-    postings = materialise(_postings(keyed, asked, ranked, threshold).where(F.col("size") >= _least_size(threshold)), "postings", free=True)
+    postings = materialise(_postings(keyed, asked, ranked, threshold).where(F.shiftright("place", 20) >= _least_size(threshold)), "postings", free=True)
     crowded = materialise(postings.groupBy("token").count().where(F.col("count") > many).select("token"), "crowded")
     some = not crowded.isEmpty()
     few = postings.join(crowded, "token", "left_anti") if some else postings

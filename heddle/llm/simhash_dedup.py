@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import components, fitted_join, materialise
-from heddle.llm.line_dedup import Tokens, _mix, _reduce
+from heddle.llm.line_dedup import _lower, _mix, _reduce
+from heddle.llm.words import hashed_words
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 #: Bits in which the codes of documents at the threshold may differ: 4 standard deviations above the mean of 19 of 128.
@@ -32,7 +33,6 @@ NEIGHBOURS = 16
 #: Nodes that the audit searches for exactly, and the recall it asks for.
 AUDITED, LEAST_RECALL = 256, 0.9
 U = np.uint64
-_ENCODER: list[Tokens] = []
 
 
 def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,18 +40,15 @@ def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.
 
     A text of fewer words than width is one shingle of all its words; one without words has none.
     """
-    if not _ENCODER:
-        _ENCODER.append(Tokens())
-    split = [t.lower().split() for t in texts]
-    n = np.array([len(s) for s in split], np.int64)
-    h = _ENCODER[0].flat([w for s in split for w in s])
-    row = np.repeat(np.arange(len(split)), n)
+    h, line, text_of, _ = hashed_words(_lower(texts))
+    row = text_of[line]
+    n = np.bincount(row, minlength=len(texts))
     pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     placed = _mix(h, 5) + (pos.astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
     seq = np.stack([_reduce(np.add, _mix(placed, 6), n), _reduce(np.add, _mix(placed, 7), n)])
     size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     first = np.repeat(np.cumsum(n) - n, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    srow = np.repeat(np.arange(len(split)), size)
+    srow = np.repeat(np.arange(len(texts)), size)
     x = np.zeros(len(first), U)
     for i in range(width):
         inside = first + i < np.cumsum(n)[srow]
@@ -205,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, mark, class_id, class_size, kept) for each row; mark is the hash of its text.
 
     A class holds the documents that chains of pairs with a shingle similarity of at least threshold join; class_id is
-    its smallest doc_id, and that row is kept. Words are lower-cased and end at white space; documents with equal word
+    its smallest doc_id, and that row is kept. Words are lower-cased and end at ASCII white space; documents with equal word
     sequences are copies, those without any word too; a text of fewer words than a shingle equals its copies only. Null
     texts are empty, a null id sorts last and is never kept beside others; rows that repeat the smallest id are all kept.
     An empty table gives no rows.
