@@ -1,10 +1,12 @@
-"""Near-duplicate documents: SimHash codes searched by Hamming distance in shards, candidate edges verified and unioned.
+"""Near-duplicate documents: SimHash codes in navigable small-world graphs, candidate edges verified and unioned.
 
 A document is the set of its five-word shingles. Each distinct word sequence is a node with a 128-bit SimHash. A node is
 sent to one shard for each of several min-hashes: two documents of similarity s meet in a shard with probability s, so
-six shards miss one pair in 15,000 at 0.8, and the work grows with the number of nodes. Inside a shard a node's
-neighbours within the radius are found, nearest first; edges are verified on the whole shingle sets, and verified edges
-are joined into classes. Nodes whose neighbour lists overflow search again with wider beams, beyond their own class. Recall is audited against an exact search of all nodes by a sample of them, and more shards are added if it is low.
+the work grows with the number of nodes. A shard is a small-world graph over Hamming distance; every node asks it for its
+neighbours by a beam search, and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
+beyond their own class, up to the whole shard. Edges are verified on the whole shingle sets, and verified edges are
+joined into classes. Recall is audited against an exact search of all nodes by a sample of them, and shards are added if
+it is low.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import components, fitted_join, materialise
 from heddle.llm.line_dedup import _lower, _mix, _reduce
+from heddle.llm.small_world import SmallWorld
 from heddle.llm.words import hashed_words
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 #: Bits in which the codes of documents at the threshold may differ: 4 standard deviations above the mean of 19 of 128.
 RADIUS = 36
-SHARDINGS, MORE_SHARDINGS = 6, 4
+SHARDINGS, MORE_SHARDINGS = 4, 4
 #: Nodes of a shard; larger ones are cut into parts, which all hold the shard's first LEADERS nodes as well.
 SHARD_NODES, LEADERS = 4096, 64
-#: Neighbours that a node reports at once, nearest first.
-NEIGHBOURS = 16
+#: Neighbours that a node reports at once, nearest first, and the least beam that looks for them.
+NEIGHBOURS, BEAM = 16, 32
+#: Nodes of a shard, up to which it is searched whole; so is a shard that a widened beam would cover by half.
+WHOLE = 128
 #: Nodes that the audit searches for exactly, and the recall it asks for.
 AUDITED, LEAST_RECALL = 256, 0.9
 U = np.uint64
@@ -152,17 +157,42 @@ def near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarr
     return tuple(np.concatenate(c) for c in (xs, ys, ds, over))
 
 
+def beam_near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarray, radius: int, threshold: Fraction, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As near(), by beam searches from each node's own place in a small-world graph."""
+    n, beam = len(codes), max(BEAM, 2 * most)
+    if n <= WHOLE or 2 * beam >= n:
+        return near(codes, sizes, asks, group, radius, threshold, most)
+    graph = SmallWorld(codes)
+    num, den = threshold.numerator, threshold.denominator
+    found = []
+    q_all = np.flatnonzero(asks)
+    for start in range(0, len(q_all), 512):
+        q = q_all[start : start + 512]
+        at, dist = graph.search(codes[q], beam, q[:, None])
+        full = dist[:, -1] <= radius
+        y = np.maximum(at, 0)
+        good = (at >= 0) & (dist <= radius) & (group[q][:, None] != group[y])
+        good &= np.minimum(sizes[q][:, None], sizes[y]) * den >= np.maximum(sizes[q][:, None], sizes[y]) * num
+        more = full | (good.sum(axis=1) > most)
+        good &= np.cumsum(good, axis=1) <= most
+        i, k = np.nonzero(good)
+        # A node whose beam is full of its own class reports itself, so that it asks again.
+        lone = np.flatnonzero(more & ~good.any(axis=1))
+        found.append((np.append(q[i], q[lone]), np.append(y[i, k], q[lone]), np.append(dist[i, k], np.zeros(len(lone), np.uint8)).astype(np.int32), np.append(more[i], np.ones(len(lone), bool))))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else near(codes[:0], sizes[:0], asks[:0], group[:0], radius, threshold, most)
+
+
 def _search(shards: DataFrame, radius: int, threshold: Fraction, most: int) -> DataFrame:
     """(x, y, distance, overflow) over all shards; shards has asks and group besides."""
 
     def search(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
         codes = np.stack([t.column("s1").to_numpy().view(U), t.column("s2").to_numpy().view(U)], axis=1)
-        x, y, d, over = near(codes, t.column("size").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False), t.column("group").to_numpy(), radius, threshold, most)
+        x, y, d, over = beam_near(codes, t.column("size").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False), t.column("group").to_numpy(), radius, threshold, most)
         return pa.table({"x": ids[x], "y": ids[y], "distance": d, "overflow": over})
 
     found = shards.groupBy("shard", "part").applyInArrow(search, "x long, y long, distance int, overflow boolean")
-    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"), F.max(F.when(F.col("overflow") & (F.col("x") < F.col("y")), True)).alias("over_a"), F.max(F.when(F.col("overflow") & (F.col("x") > F.col("y")), True)).alias("over_b"))
+    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"), F.max(F.when(F.col("overflow") & (F.col("x") <= F.col("y")), True)).alias("over_a"), F.max(F.when(F.col("overflow") & (F.col("x") > F.col("y")), True)).alias("over_b"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, threshold: Fraction, width: int) -> DataFrame:
@@ -237,7 +267,8 @@ def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, edges: DataFr
         sent = shards.join(labels, "id")
         sent = sent.withColumn("asks", F.lit(True)) if asking is None else sent.join(asking.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         found = materialise(_search(sent, radius, threshold, beam), "found")
-        new = found.select("a", "b", "distance") if tried is None else found.join(tried, ["a", "b"], "left_anti").select("a", "b", "distance")
+        new = found.where("a <> b")
+        new = new.select("a", "b", "distance") if tried is None else new.join(tried, ["a", "b"], "left_anti").select("a", "b", "distance")
         if asking is None:
             # The nearest neighbour of each node first; of the other edges only those between classes that are still apart.
             both = new.select(F.col("a").alias("n"), "a", "b", "distance").union(new.select("b", "a", "b", "distance"))

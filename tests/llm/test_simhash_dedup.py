@@ -78,3 +78,22 @@ def test_near_reports_the_nearest_first():
     codes = np.array([[0, 0], [1, 0], [3, 0], [2**40 - 1, 2**20], [7, 0]], np.uint64)
     x, y, d, over = near(codes, np.array([10, 10, 10, 10, 100]), np.ones(5, bool), np.arange(5), 3, __import__("fractions").Fraction(4, 5), 1)
     assert list(zip(x.tolist(), y.tolist(), d.tolist())) == [(0, 1, 1), (1, 0, 1), (2, 1, 1)] and over.all()
+
+
+def test_beams_find_what_the_whole_shard_has():
+    from fractions import Fraction
+
+    from heddle.llm.simhash_dedup import beam_near
+
+    r = np.random.default_rng(4)
+    codes = r.integers(0, 2**64, (1500, 2), dtype=np.uint64)
+    codes[1000:1200, 0] = codes[0, 0] ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))
+    codes[1000:1200, 1] = codes[0, 1]
+    codes[:400:2] = codes[1:400:2] ^ np.array([0xFFFF, 3], np.uint64)
+    args = (codes, np.full(1500, 50), np.ones(1500, bool), np.where(np.arange(1500) >= 1100, 7, np.arange(1500)), 36, Fraction(4, 5))
+    want, got = near(*args, 1500), beam_near(*args, 4)
+    pairs = set(zip(got[0].tolist(), got[1].tolist()))
+    assert {p for p in pairs if p[0] != p[1]} <= set(zip(want[0].tolist(), want[1].tolist()))
+    alone = {(i, i ^ 1) for i in range(2, 400)}
+    assert len(alone & pairs) > 0.9 * len(alone)
+    assert set(got[0][got[3]].tolist()) >= set(range(1000, 1200))
