@@ -6,10 +6,11 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import google as g
+from heddle.operators import patterns as mr
 from heddle.operators import profile as pf
 from heddle.operators import relational as rel
 from heddle.plans import joinorder as jo
@@ -480,3 +481,52 @@ def _streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["q_streaming_dedup"] = _streaming_dedup
 ORACLE["q_streaming_dedup"] = "SELECT DISTINCT event_id, user_id FROM events"
+
+# --- more functions and forms ----------------------------------------------------------------------------------------
+
+sql("q_fn_json", "SELECT event_id, SIZE(JSON_OBJECT_KEYS(props)) AS n_keys, GET_JSON_OBJECT(props, '$.missing') AS m, TO_JSON(NAMED_STRUCT('e', event_id)) AS j, CAST(VARIANT_GET(PARSE_JSON(props), '$.k', 'int') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(len(json_keys(props)) AS INT) AS n_keys, json_extract_string(props, '$.missing') AS m, '{\"e\":' || event_id || '}' AS j, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+sql("q_fn_net", "SELECT page_id, PARSE_URL(url, 'HOST') AS host FROM pages", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
+sql("q_fn_null_handling", "SELECT n_nationkey, NULLIFZERO(n_regionkey) AS nz, ZEROIFNULL(NULLIF(n_regionkey, 2)) AS zn, IF(n_regionkey > 2, 'hi', 'lo') AS f, IFNULL(NULLIF(n_name, 'NATION_3'), '-') AS i FROM nation", "SELECT n_nationkey, CAST(NULLIF(n_regionkey, 0) AS BIGINT) AS nz, CAST(COALESCE(NULLIF(n_regionkey, 2), 0) AS BIGINT) AS zn, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS f, COALESCE(NULLIF(n_name, 'NATION_3'), '-') AS i FROM nation")
+sql("q_fn_trig", "SELECT l_orderkey, l_linenumber, ROUND(SINH(l_tax) + COSH(l_tax) + TANH(l_tax) + ASIN(l_tax) + ACOS(l_tax) + ATAN(l_tax), 9) AS a, ROUND(DEGREES(l_tax) + RADIANS(l_quantity), 9) AS d, ROUND(LOG(2, l_quantity) + LOG10(l_quantity), 9) AS lg, ROUND(COT(l_quantity) + SEC(l_tax) + CSC(l_quantity), 6) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, round(sinh(l_tax) + cosh(l_tax) + tanh(l_tax) + asin(l_tax) + acos(l_tax) + atan(l_tax), 9) AS a, round(degrees(l_tax) + radians(l_quantity), 9) AS d, round(log2(l_quantity) + log10(l_quantity), 9) AS lg, round(cot(l_quantity) + 1 / cos(l_tax) + 1 / sin(l_quantity), 6) AS c FROM lineitem")
+sql("q_fn_safe", "SELECT l_orderkey, l_linenumber, TRY_DIVIDE(l_quantity, l_tax) IS NULL AS z, TRY_ADD(9223372036854775807, l_linenumber) AS a, TRY_MULTIPLY(l_orderkey, 2) AS m, TRY_SUBTRACT(l_orderkey, 1) AS s, TRY_ELEMENT_AT(ARRAY(1, 2), CAST(l_linenumber AS INT)) AS e FROM lineitem", "SELECT l_orderkey, l_linenumber, l_tax = 0 AS z, NULL::BIGINT AS a, l_orderkey * 2 AS m, l_orderkey - 1 AS s, [1, 2][l_linenumber] AS e FROM lineitem")
+sql("q_fn_parse_format", "SELECT o_orderkey, TO_DATE(DATE_FORMAT(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy') AS d, DATE_FORMAT(o_orderdate, 'EEEE') AS w, MAKE_DATE(2024, CAST(o_orderkey % 12 + 1 AS INT), 1) AS m, MONTHS_BETWEEN(DATE '2024-03-01', DATE '2024-01-01') AS mb FROM orders", "SELECT o_orderkey, o_orderdate::DATE AS d, dayname(o_orderdate) AS w, make_date(2024, (o_orderkey % 12 + 1)::BIGINT, 1) AS m, 2.0 AS mb FROM orders")
+sql("q_multi_unpivot", "SELECT s_suppkey, kind, k, v FROM supplier UNPIVOT ((k, v) FOR kind IN ((s_nationkey, s_acctbal) AS a, (s_suppkey2, s_acctbal2) AS b))".replace("FROM supplier", "FROM (SELECT s_suppkey, s_nationkey, s_acctbal, s_suppkey * 2 AS s_suppkey2, s_acctbal * 2 AS s_acctbal2 FROM supplier)"), "SELECT s_suppkey, 'a' AS kind, s_nationkey::BIGINT AS k, s_acctbal AS v FROM supplier UNION ALL SELECT s_suppkey, 'b', s_suppkey * 2, s_acctbal * 2 FROM supplier")
+sql("q_not_in_null_aware", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE r_regionkey END FROM region)", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE r_regionkey END FROM region)")
+sql("q_range_overlap", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderdate < b.o_orderdate + INTERVAL 10 DAYS AND b.o_orderdate < a.o_orderdate + INTERVAL 10 DAYS", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderdate < b.o_orderdate + INTERVAL 10 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 10 DAY")
+sql("q_sliding_window", "SELECT window.end AS e, COUNT(*) AS n FROM events GROUP BY window(ts, '2 hours', '1 hour')", "SELECT e, COUNT(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOUR]) AS e FROM events) GROUP BY e")
+
+
+@query("q_having_min_any", "SELECT p_brand, SUM(p_size)::BIGINT AS s, COUNT(*) AS n FROM (SELECT *, MIN(p_retailprice) OVER (PARTITION BY p_brand) AS m FROM part) WHERE p_retailprice = m GROUP BY p_brand")
+def _(t):
+    return rel.having_extremum(t("part"), ["p_brand"], "p_retailprice", largest=False).groupBy("p_brand").agg(F.sum("p_size").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+@query("q_approx_sketches", "SELECT COUNT(*) > 0 AS close FROM events")
+def _(t):
+    e = t("events")
+    exact = e.agg(F.countDistinct("user_id").alias("n"))
+    return e.agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("h"), F.approx_count_distinct("user_id").alias("a")).join(F.broadcast(exact)).select(((F.abs(F.col("h") - F.col("n")) < F.col("n") * 0.1 + 2) & (F.abs(F.col("a") - F.col("n")) < F.col("n") * 0.2 + 2)).alias("close"))
+
+
+@query("q_match_recognize", None)
+def _(t):
+    e = t("events")
+    return mr.match_recognize(e, ["user_id"], ["ts"], {"e": F.col("event_type") == "error", "c": F.col("event_type") == "click"}, "e+c", "event_id")
+
+
+@query("q_align", "SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS period_end, event_type, COUNT(*) AS n, MAX(event_id) AS last FROM events GROUP BY ALL")
+def _(t):
+    return mr.align(t("events"), "ts", ["event_type"], "1 hour", "1 hour", n=F.count(F.lit(1)), last=F.max("event_id"))
+
+
+@query("q_sql_function", "SELECT p_partkey, p_retailprice * 1.19 AS gross FROM part")
+def _(t):
+    spark = t("part").sparkSession
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION heddle_gross(x DOUBLE) RETURNS DOUBLE RETURN x * 1.19")
+    return spark.sql("SELECT p_partkey, heddle_gross(p_retailprice) AS gross FROM {p}", p=t("part"))
+
+
+@query("q_asof_join", "SELECT o_orderkey, (SELECT MAX(p.o_orderdate) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate < o.o_orderdate) AS before FROM orders o")
+def _(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").cast("timestamp").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    return t("orders").select("o_orderkey", F.max("o_orderdate").over(w).alias("before"))

@@ -108,3 +108,11 @@ def test_unions_by_name(spark):
     assert rel.union_by_name(a, b, "inner").columns == ["y"] and rel.union_by_name(a, b, "full").columns == ["x", "y", "z"]
     with pytest.raises(ValueError):
         rel.union_by_name(a, b)
+
+
+def test_match_recognize_finds_runs(spark):
+    from heddle.operators.patterns import match_recognize
+
+    rows = spark.createDataFrame([(1, i, k) for i, k in enumerate("aabxaab")] + [(2, 9, "b")], "p long, t long, k string")
+    got = match_recognize(rows, ["p"], ["t"], {"a": F.col("k") == "a", "b": F.col("k") == "b"}, "a+b", "t").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0, 2, 3), (1, 2, 4, 6, 3)]
