@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 _LOCAL: dict[str, str] = {}
+_PATHS: list[str] = []  # of scratch tables, in the order of their making
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/heddle/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     atexit.register(remove, spark, path)
     return path
 
@@ -60,6 +63,22 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result written, and the scratch tables that it made on the way deleted once that is done."""
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        before = len(_PATHS)
+        df = f(*args, **kwargs)
+        made = _PATHS[before:]
+        out = materialise(df, f.__name__, free=True)
+        for path in made:
+            remove(df.sparkSession, path)
+        return out
+
+    return run
+
+
 #: Bytes of Parquet up to which a join's smaller side is broadcast; beyond it both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
 

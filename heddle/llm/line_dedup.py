@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import fitted_join, materialise
+from heddle.llm.common import fitted_join, materialise, tidy
 from heddle.llm.lm_scoring import _summed
 from heddle.llm.words import hashed_words, sets_of
 
@@ -31,6 +31,8 @@ THRESHOLD = Fraction(4, 5)
 RANKED = 100_000
 #: Lines with one posted token, from which on its earliest lines are tried first; and how many of those.
 MANY, EARLIEST = 64, 32
+#: Parts of the tokens, by hash, whose postings meet one after another, so that a part's shuffle is on disk at a time.
+SLICES = 4
 U = np.uint64
 
 
@@ -187,6 +189,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, threshold: Fr
     return pairs.join(tx, "x").join(ty, "y").where(common * den >= union * num).select(F.col("x").alias("id")).distinct()
 
 
+@tidy
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, many: int = MANY, earliest: int = EARLIEST) -> DataFrame:
     """(doc, mark, gone): for each row that loses any, the numbers of its removed lines.
 
@@ -210,13 +213,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowded = materialise(postings.groupBy("token").count().where(F.col("count") > many).select("token"), "crowded")
     some = not crowded.isEmpty()
     few = postings.join(crowded, "token", "left_anti") if some else postings
-    pairs = _pairs(few, few, threshold)
+    pairs = None
+    for i in range(SLICES):
+        part = few.where(F.pmod(F.col("token"), F.lit(SLICES)) == i)
+        part = materialise(_pairs(part, part, threshold), "pairs", free=True)
+        pairs = part if pairs is None else pairs.union(part)
     if some:
         hot = materialise(postings.join(crowded, "token"), "hot")
         salted = hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
         for by in (["token", "salt"], ["token"]):
             salted = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= earliest)
-        pairs = pairs.union(_pairs(hot, salted.select(hot.columns), threshold)).distinct()
+        pairs = pairs.union(materialise(_pairs(hot, salted.select(hot.columns), threshold), "pairs", free=True))
+    pairs = pairs.distinct()
     similar = materialise(_verified(pairs, sets, keyed, threshold), "similar", free=True)
     if some:
         alone = hot.join(similar, "id", "left_anti").select(hot.columns)

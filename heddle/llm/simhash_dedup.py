@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import components, fitted_join, materialise
+from heddle.llm.common import components, fitted_join, materialise, tidy
 from heddle.llm.line_dedup import _lower, _mix, _reduce
 from heddle.llm.small_world import SmallWorld
 from heddle.llm.words import hashed_words
@@ -228,6 +228,7 @@ def _labels(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
     return nodes.join(components(edges), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, width: int = SHINGLE, radius: int = RADIUS, shardings: int = SHARDINGS, shard_nodes: int = SHARD_NODES, neighbours: int = NEIGHBOURS, audited: int = AUDITED) -> DataFrame:
     """(doc_id, mark, class_id, class_size, kept) for each row; mark is the hash of its text.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import fitted_join, materialise
+from heddle.llm.common import fitted_join, materialise, tidy
 from heddle.llm.windows import PIECE, anchors, window_hashes
 
 MIN_BYTES = 200
@@ -38,6 +38,7 @@ HOT_RUNS = 1000
 GATHER_BYTES = 4 << 20
 
 
+@tidy
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc, mark, starts, ends): the maximal removed runs of each row that has any, as byte offsets.
 
@@ -64,7 +65,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not wide.isEmpty():
         edges = edges.union(_wide_edges(texts.join(wide, "name"), min_bytes))
     spans = whole.union(edges).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return materialise(_merged(spans), "spans")
+    return _merged(spans)
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
