@@ -30,7 +30,7 @@ THRESHOLD = Fraction(4, 5)
 #: Most frequent tokens, whose order is their count; all others are rarer than these and ordered by their hash.
 RANKED = 100_000
 #: Lines with one posted token, from which on its earliest lines are tried first; and how many of those.
-MANY, EARLIEST = 64, 32
+MANY, EARLIEST = 1000, 32
 #: Parts of the tokens, by hash, whose postings meet one after another, so that a part's shuffle is on disk at a time.
 SLICES = 4
 U = np.uint64
