@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles. Each distinct word sequence is a node with a 128-bit SimHash. A node is
 sent to one shard for each of several min-hashes: two documents of similarity s meet in a shard with probability s, so
 the work grows with the number of nodes. A shard is a small-world graph over Hamming distance; every node asks it for its
-neighbours by a beam search, and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
+neighbours by a beam search (each part of a large shard is a graph of its own, which all the shard's nodes ask), and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
 beyond their own class, up to the whole shard. Edges are verified on the whole shingle sets, and verified edges are
 joined into classes. Recall is audited against an exact search of all nodes by a sample of them, and shards are added if
 it is low.
@@ -29,12 +29,14 @@ SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 #: Bits in which the codes of documents at the threshold may differ: 4 standard deviations above the mean of 19 of 128.
 RADIUS = 36
 SHARDINGS, MORE_SHARDINGS = 4, 4
-#: Nodes of a shard; larger ones are cut into parts, which all hold the shard's first LEADERS nodes as well.
-SHARD_NODES, LEADERS = 4096, 64
+#: Nodes of a shard; larger ones are cut into parts, and each node asks all parts. Parts whose nodes ask in one task.
+SHARD_NODES, PARTS_ASKING = 4096, 16
 #: Neighbours that a node reports at once, nearest first, and the least beam that looks for them.
 NEIGHBOURS, BEAM = 16, 32
 #: Nodes of a shard, up to which it is searched whole; so is a shard that a widened beam would cover by half.
 WHOLE = 128
+#: Nodes of a graph from which a query that isn't one of them starts.
+ENTRIES = 8
 #: Nodes that the audit searches for exactly, and the recall it asks for.
 AUDITED, LEAST_RECALL = 256, 0.9
 U = np.uint64
@@ -100,46 +102,52 @@ def _scan(keyed: DataFrame, shardings: int, width: int) -> DataFrame:
 
 
 def _sharded(nodes: DataFrame, first: int, last: int, shard_nodes: int) -> DataFrame:
-    """nodes with shard and part for each sharding from first to last: a node stands in one shard of each."""
+    """nodes for each sharding from first to last, with shard, part and block, home (stands in the part's graph) and query
+    (asks it). A node stands in one part of one shard of each sharding and asks all parts of that shard, block by block."""
     count = max(1, -(-nodes.count() // shard_nodes))
     sent = nodes.select("id", "s1", "s2", "size", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("sharding"), "mins")
     value = F.xxhash64("sharding", F.element_at("mins", F.col("sharding") + 1))
     sent = materialise(sent.select("id", "s1", "s2", "size", (F.col("sharding") * count + F.pmod(value, F.lit(count))).alias("shard")), "shards")
-    large = materialise(sent.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > 2 * shard_nodes).select("shard", F.ceil(F.col("n") / shard_nodes).cast("int").alias("parts")), "large")
+    large = materialise(sent.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_nodes).select("shard", F.ceil(F.col("n") / shard_nodes).cast("int").alias("parts")), "large")
+    whole = sent.withColumns({"part": F.lit(0), "block": F.lit(0), "home": F.lit(True), "query": F.lit(True)})
     if large.isEmpty():
-        return sent.withColumn("part", F.lit(0))
-    joined = sent.join(large, "shard", "left")
-    own = joined.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int")))
-    heavy = sent.join(large, "shard")
-    # The first nodes of a large shard, found part by part, stand in all of its parts and tie them together.
-    lead = heavy.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for by in (["shard", "salt"], ["shard"]):
-        lead = lead.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= LEADERS)
-    lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["id", "s1", "s2", "size", "shard", "part"]
-    return own.select(columns).union(lead.select(columns)).distinct()
-
-
-def near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarray, radius: int, threshold: Fraction, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return whole
+    heavy = sent.join(large, "shard").withColumn("own", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int"))
+    last_block = F.floor((F.col("parts") - 1) / PARTS_ASKING).cast("int")
+    stands = heavy.withColumns({"part": F.col("own"), "block": F.explode(F.sequence(F.lit(0), last_block)), "home": F.lit(True), "query": F.lit(False)})
+    asks = heavy.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block": F.floor(F.col("own") / PARTS_ASKING).cast("int"), "home": F.lit(False), "query": F.lit(True)})
+    return whole.join(large, "shard", "left_anti").select(whole.columns).union(stands.select(whole.columns)).union(asks.select(whole.columns))
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarray, radius: int, threshold: Fraction, most: int) -> Found:
     """(x, y, distance, overflow): for each asking row its most nearest rows of other groups inside the radius.
 
     Sizes that rule the threshold out are passed over. overflow says that a row has more such neighbours.
     """
-    order = np.argsort(sizes, kind="stable")
-    codes, sizes, asks, group = codes[order], sizes[order], asks[order], group[order]
+    q = np.flatnonzero(asks)
+    x, y, d, over = _whole((codes, sizes, group), (codes[q], sizes[q], group[q]), radius, threshold, most)
+    return q[x], y, d, over
+
+
+def _whole(nodes: tuple[np.ndarray, ...], queries: tuple[np.ndarray, ...], radius: int, threshold: Fraction, most: int) -> Found:
+    """As near(), for queries besides nodes, both (codes, sizes, group); x counts queries and y nodes."""
+    order, q_order = np.argsort(nodes[1], kind="stable"), np.argsort(queries[1], kind="stable")
+    codes, sizes, group = (c[order] for c in nodes)
+    q_codes, q_sizes, q_group = (c[q_order] for c in queries)
     num, den = threshold.numerator, threshold.denominator
-    lo, hi = np.searchsorted(sizes * den, sizes * num), np.searchsorted(sizes * num, sizes * den, side="right")
+    lo, hi = np.searchsorted(sizes * den, q_sizes * num), np.searchsorted(sizes * num, q_sizes * den, side="right")
     xs, ys, ds, over = [], [], [], []
-    for at in range(0, len(codes), 256):
-        q = at + np.flatnonzero(asks[at : at + 256])
-        if not len(q):
-            continue
+    for at in range(0, len(q_codes), 256):
+        q = np.arange(at, min(at + 256, len(q_codes)))
         a, b = int(lo[q[0]]), int(hi[q[-1]])
-        d = np.bitwise_count(codes[q, None, 0] ^ codes[None, a:b, 0])
-        d += np.bitwise_count(codes[q, None, 1] ^ codes[None, a:b, 1])
+        d = np.bitwise_count(q_codes[q, None, 0] ^ codes[None, a:b, 0])
+        d += np.bitwise_count(q_codes[q, None, 1] ^ codes[None, a:b, 1])
         i, j = np.nonzero(d <= radius)
         dist, j = d[i, j], j + a
-        good = (group[q[i]] != group[j]) & (j >= lo[q[i]]) & (j < hi[q[i]])
+        good = (q_group[q[i]] != group[j]) & (j >= lo[q[i]]) & (j < hi[q[i]])
         i, j, dist = i[good], j[good], dist[good]
         o = np.lexsort((j, dist, i))
         i, j, dist = i[o], j[o], dist[o]
@@ -147,7 +155,7 @@ def near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarr
         more = np.bincount(i, minlength=len(q)) > most
         keep = place < most
         i, j, dist = i[keep], j[keep], dist[keep]
-        xs.append(order[q[i]])
+        xs.append(q_order[q[i]])
         ys.append(order[j])
         ds.append(dist.astype(np.int32))
         over.append(more[i])
@@ -157,41 +165,76 @@ def near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarr
     return tuple(np.concatenate(c) for c in (xs, ys, ds, over))
 
 
-def beam_near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarray, radius: int, threshold: Fraction, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def beam_near(codes: np.ndarray, sizes: np.ndarray, asks: np.ndarray, group: np.ndarray, radius: int, threshold: Fraction, most: int) -> Found:
     """As near(), by beam searches from each node's own place in a small-world graph."""
+    q = np.flatnonzero(asks)
+    x, y, d, over = _beams((codes, sizes, group), (codes[q], sizes[q], group[q]), q, radius, threshold, most)
+    # A node whose beam is full of its own class reports itself, so that it asks again.
+    return q[x], np.where(y >= 0, y, q[x]), d, over
+
+
+def _beams(nodes: tuple[np.ndarray, ...], queries: tuple[np.ndarray, ...], place: np.ndarray, radius: int, threshold: Fraction, most: int) -> Found:
+    """As _whole(), by beam searches from each query's place among the nodes, or, where that is -1, from the graph's first
+    nodes. A query whose beam is full of its own class has one row with y -1."""
+    (codes, sizes, group), (q_codes, q_sizes, q_group) = nodes, queries
     n, beam = len(codes), max(BEAM, 2 * most)
     if n <= WHOLE or 2 * beam >= n:
-        return near(codes, sizes, asks, group, radius, threshold, most)
+        return _whole(nodes, queries, radius, threshold, most)
     graph = SmallWorld(codes)
     num, den = threshold.numerator, threshold.denominator
     found = []
-    q_all = np.flatnonzero(asks)
-    for start in range(0, len(q_all), 512):
-        q = q_all[start : start + 512]
-        at, dist = graph.search(codes[q], beam, q[:, None])
+    for start in range(0, len(q_codes), 512):
+        q = np.arange(start, min(start + 512, len(q_codes)))
+        entries = np.repeat(graph.order[None, :ENTRIES], len(q), axis=0)
+        own = place[q] >= 0
+        entries[own] = -1
+        entries[own, 0] = place[q][own]
+        at, dist = graph.search(q_codes[q], beam, entries)
         full = dist[:, -1] <= radius
         y = np.maximum(at, 0)
-        good = (at >= 0) & (dist <= radius) & (group[q][:, None] != group[y])
-        good &= np.minimum(sizes[q][:, None], sizes[y]) * den >= np.maximum(sizes[q][:, None], sizes[y]) * num
+        good = (at >= 0) & (dist <= radius) & (q_group[q][:, None] != group[y])
+        good &= np.minimum(q_sizes[q][:, None], sizes[y]) * den >= np.maximum(q_sizes[q][:, None], sizes[y]) * num
         more = full | (good.sum(axis=1) > most)
         good &= np.cumsum(good, axis=1) <= most
         i, k = np.nonzero(good)
-        # A node whose beam is full of its own class reports itself, so that it asks again.
         lone = np.flatnonzero(more & ~good.any(axis=1))
-        found.append((np.append(q[i], q[lone]), np.append(y[i, k], q[lone]), np.append(dist[i, k], np.zeros(len(lone), np.uint8)).astype(np.int32), np.append(more[i], np.ones(len(lone), bool))))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else near(codes[:0], sizes[:0], asks[:0], group[:0], radius, threshold, most)
+        found.append((np.append(q[i], q[lone]), np.append(y[i, k], np.full(len(lone), -1)), np.append(dist[i, k], np.zeros(len(lone), np.uint8)).astype(np.int32), np.append(more[i], np.ones(len(lone), bool))))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else _whole(nodes, queries, radius, threshold, most)
+
+
+def _part(t: pa.Table, radius: int, threshold: Fraction, most: int) -> pa.Table:
+    """(x, y, distance, overflow) of ids: what the rows that ask find among those that are at home in one part."""
+    ids, home, asks = t.column("id").to_numpy(), t.column("home").to_numpy(), t.column("asks").to_numpy()
+    codes = np.stack([t.column("s1").to_numpy().view(U), t.column("s2").to_numpy().view(U)], axis=1)
+    sizes, group = t.column("size").to_numpy(), t.column("group").to_numpy()
+    nodes, queries = np.flatnonzero(home), np.flatnonzero(asks)
+    # Most nodes may be of one class by now: its own ask the others only, which a graph of the others answers.
+    values, counts = np.unique(group[nodes], return_counts=True)
+    main = values[counts.argmax()] if len(nodes) and 2 * counts.max() > len(nodes) else None
+    inside = np.zeros(len(queries), bool) if main is None else group[queries] == main
+    out = []
+    for q, v in ((queries[~inside], nodes), (queries[inside], nodes[group[nodes] != main] if main is not None else nodes[:0])):
+        if not len(q) or not len(v):
+            continue
+        order = np.argsort(ids[v])
+        v = v[order]
+        place = np.minimum(np.searchsorted(ids[v], ids[q]), len(v) - 1)
+        place = np.where(ids[v][place] == ids[q], place, -1)
+        x, y, d, over = _beams((codes[v], sizes[v], group[v]), (codes[q], sizes[q], group[q]), place, radius, threshold, most)
+        out.append((ids[q[x]], np.where(y >= 0, ids[v[np.maximum(y, 0)]], ids[q[x]]), d, over))
+    e = np.empty(0, np.int64)
+    x, y, d, over = (np.concatenate(c) for c in zip((e, e, e.astype(np.int32), e.astype(bool)), *out, strict=True))
+    return pa.table({"x": x, "y": y, "distance": d, "overflow": over})
 
 
 def _search(shards: DataFrame, radius: int, threshold: Fraction, most: int) -> DataFrame:
     """(x, y, distance, overflow) over all shards; shards has asks and group besides."""
 
     def search(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        codes = np.stack([t.column("s1").to_numpy().view(U), t.column("s2").to_numpy().view(U)], axis=1)
-        x, y, d, over = beam_near(codes, t.column("size").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False), t.column("group").to_numpy(), radius, threshold, most)
-        return pa.table({"x": ids[x], "y": ids[y], "distance": d, "overflow": over})
+        return _part(t, radius, threshold, most)
 
-    found = shards.groupBy("shard", "part").applyInArrow(search, "x long, y long, distance int, overflow boolean")
+    # Rows that neither stand in a graph nor ask it any more stay behind.
+    found = shards.where("home or asks").groupBy("shard", "part", "block").applyInArrow(search, "x long, y long, distance int, overflow boolean")
     return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"), F.max(F.when(F.col("overflow") & (F.col("x") <= F.col("y")), True)).alias("over_a"), F.max(F.when(F.col("overflow") & (F.col("x") > F.col("y")), True)).alias("over_b"))
 
 
@@ -266,7 +309,7 @@ def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, edges: DataFr
     while True:
         labels = materialise(_labels(nodes.select("id"), edges), "labels")
         sent = shards.join(labels, "id")
-        sent = sent.withColumn("asks", F.lit(True)) if asking is None else sent.join(asking.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        sent = sent.withColumn("asks", F.col("query")) if asking is None else sent.join(asking.withColumn("again", F.lit(True)), "id", "left").withColumn("asks", F.col("query") & F.coalesce("again", F.lit(False)))
         found = materialise(_search(sent, radius, threshold, beam), "found")
         new = found.where("a <> b")
         new = new.select("a", "b", "distance") if tried is None else new.join(tried, ["a", "b"], "left_anti").select("a", "b", "distance")

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from heddle.llm.simhash_dedup import keep_one, near, near_duplicates
 
@@ -97,3 +98,29 @@ def test_beams_find_what_the_whole_shard_has():
     alone = {(i, i ^ 1) for i in range(2, 400)}
     assert len(alone & pairs) > 0.9 * len(alone)
     assert set(got[0][got[3]].tolist()) >= set(range(1000, 1200))
+
+
+def test_pairs_that_meet_on_a_passage_shared_by_a_large_shard(spark):
+    r = random.Random(7)
+    shared = ["s%d" % i for i in range(75)]
+    rows = []
+    for i in range(200):
+        own = ["w%d" % r.randrange(10**9) for _ in range(30)]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own[:-1] + ["x%d" % i]))]
+    r.shuffle(rows)
+    got = {d.doc_id: d.class_id for d in near_duplicates(frame(spark, rows), shard_nodes=8, audited=0).collect()}
+    assert sum(got[i] == i - i % 2 for i in range(400)) >= 396
+
+
+def test_parts_ask_in_blocks_and_find_what_one_graph_finds(spark):
+    from heddle.llm import simhash_dedup as sd
+
+    r = np.random.default_rng(9)
+    n = 300
+    codes = r.integers(-(2**63), 2**63 - 1, (n, 2))
+    codes[1::2] = codes[::2] ^ 0b111
+    nodes = spark.createDataFrame([(i, int(codes[i, 0]), int(codes[i, 1]), 50, [7]) for i in range(n)], "id long, s1 long, s2 long, size long, mins array<long>")
+    shards = sd._sharded(nodes, 0, 1, 5).withColumn("asks", F.col("query")).withColumn("group", F.col("id"))
+    assert shards.select("part").distinct().count() == n // 5 and shards.select("block").distinct().count() == -(-(n // 5) // sd.PARTS_ASKING)
+    found = {(f.a, f.b) for f in sd._search(shards, 36, sd.THRESHOLD, 16).collect()}
+    assert {(i, i + 1) for i in range(0, n, 2)} <= found
