@@ -1,6 +1,6 @@
 """Near-duplicate documents: SimHash codes in navigable small-world graphs, candidate edges verified and unioned.
 
-A document is the set of its five-word shingles. Each distinct word sequence is a node with a 128-bit SimHash. A node is
+A document is the set of its five-word shingles. Each distinct set is a node with a 128-bit SimHash. A node is
 sent to one shard for each of several min-hashes: two documents of similarity s meet in a shard with probability s, so
 the work grows with the number of nodes. A shard is a small-world graph over Hamming distance; every node asks it for its
 neighbours by a beam search (each part of a large shard is a graph of its own, which all the shard's nodes ask), and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
@@ -43,16 +43,13 @@ U = np.uint64
 
 
 def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' distinct shingles, sorted in each text, their numbers, and two hashes of each text's word sequence.
+    """All texts' distinct shingles, sorted in each text, their numbers, and two hashes of each text's set.
 
     A text of fewer words than width is one shingle of all its words; one without words has none.
     """
     h, line, text_of, _ = hashed_words(_lower(texts))
     row = text_of[line]
     n = np.bincount(row, minlength=len(texts))
-    pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    placed = _mix(h, 5) + (pos.astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
-    seq = np.stack([_reduce(np.add, _mix(placed, 6), n), _reduce(np.add, _mix(placed, 7), n)])
     size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     first = np.repeat(np.cumsum(n) - n, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     srow = np.repeat(np.arange(len(texts)), size)
@@ -64,7 +61,8 @@ def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.
     order = np.lexsort((x, srow))
     x, srow = x[order], srow[order]
     new = np.append(True, (x[1:] != x[:-1]) | (srow[1:] != srow[:-1])) if len(x) else np.empty(0, bool)
-    return x[new], np.bincount(srow[new], minlength=len(texts)), seq[0], seq[1]
+    x, sizes = x[new], np.bincount(srow[new], minlength=len(texts))
+    return x, sizes, _reduce(np.add, _mix(x, 6), sizes), _reduce(np.add, _mix(x, 7), sizes)
 
 
 def _simhash(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +84,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(keyed: DataFrame, shardings: int, width: int) -> DataFrame:
-    """(doc, mark, a, b, size, s1, s2, mins): a row's word sequence, shingle count, code and min-hashes."""
+    """(doc, mark, a, b, size, s1, s2, mins): a row's shingle set, its size, code and min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A class holds the documents that chains of pairs with a shingle similarity of at least threshold join; class_id is
     its smallest doc_id, and that row is kept. Words are lower-cased and end at ASCII white space; documents with equal word
-    sequences are copies, those without any word too; a text of fewer words than a shingle equals its copies only. Null
+    sequences are copies, those without any word too; a text of fewer words than a shingle equals its copies only. Texts of equal sets are of one class, whatever their words'
+    order and number. Null
     texts are empty, a null id sorts last and is never kept beside others; rows that repeat the smallest id are all kept.
     An empty table gives no rows.
     """
@@ -286,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(_scan(keyed, most_shardings, width), "codes")
     nodes = rows.groupBy("a", "b").agg(F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "mark")).alias("first"), F.min("size").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("mins").alias("mins"))
     nodes = materialise(nodes.select("a", "b", "first.doc", "first.mark", "size", "s1", "s2", "mins").withColumn("id", F.monotonically_increasing_id()), "nodes")
-    several = nodes.where(F.col("size") >= 4)  # smaller sets are as similar to equal sets only
+    several = nodes.where(F.col("size") >= 4)  # smaller sets are as similar to equal sets only, which are one node
     edges, tried, done = None, None, 0
     while done < most_shardings:
         until = shardings if not done else done + MORE_SHARDINGS

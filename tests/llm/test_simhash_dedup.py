@@ -124,3 +124,11 @@ def test_parts_ask_in_blocks_and_find_what_one_graph_finds(spark):
     assert shards.select("part").distinct().count() == n // 5 and shards.select("block").distinct().count() == -(-(n // 5) // sd.PARTS_ASKING)
     found = {(f.a, f.b) for f in sd._search(shards, 36, sd.THRESHOLD, 16).collect()}
     assert {(i, i + 1) for i in range(0, n, 2)} <= found
+
+
+def test_repeated_words_and_phrases_have_equal_sets(spark):
+    phrases = ["spam", "buy now", "click here now", "a b c d", "one two three four five six"]
+    rows = [(10 * i + k, " ".join([p] * n)) for i, p in enumerate(phrases) for k, n in enumerate((20, 35, 200, 350))]
+    rows += [(100, "spam " * 4), (101, "spam " * 3), (102, "spam spam spam"), (103, None)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(frame(spark, rows), audited=0).collect()}
+    assert got == brute(rows) and got[3] == (0, 4) and got[101] == (101, 2)
