@@ -1,7 +1,8 @@
 """Language-model scores: prediction by partial matching over bytes, with a smoothed unigram word model beside it.
 
-The trie of byte contexts is held as one table of counted (order + 1)-grams for each order. They are counted over all
-training texts by a shuffle; lower orders are marginals of the highest. At each byte the model starts at its longest
+The trie of byte contexts is held as one written table of counted (order + 1)-grams for each order. They are counted over
+all training texts by a shuffle; lower orders are marginals of the highest. No task holds the whole model: each distinct
+gram of the texts is scored by joins with the tables, and a block of texts gets the scores of its own grams. At each byte the model starts at its longest
 known context; a byte that the context has not seen escapes to the next shorter one (escape method C), where the symbols
 already ruled out are excluded from the counts. With Trie the same model runs symbol by symbol, pretrained or adaptive.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise
+from heddle.llm.common import materialise, tidy
 
 ORDER = 5
-#: Counted n-grams that the trie holds at most, over all orders; rarer ones are pruned, by one threshold for all.
-MAX_NODES = 4_000_000
+#: Bytes of text that are scored together, from a table of their own distinct grams.
+BLOCK_BYTES = 32 << 20
 #: Most frequent words whose counts go to every task; the others are joined.
 HEAD_WORDS = 100_000
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
@@ -125,7 +127,7 @@ class _Table:
 
 
 class Ppm:
-    """The pretrained model in arrays. levels: for each m from order + 1 down to 1 the m-grams' (keys, counts), sorted."""
+    """A pretrained model that fits in memory, in arrays. levels: for each m from order + 1 down to 1 the m-grams' (keys, counts), sorted."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.levels = []
@@ -185,29 +187,59 @@ def blocks(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]
         yield part
 
 
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all rows of texts(text binary), partly summed in the tasks and then by a shuffle."""
+def in_blocks(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """rows(doc_id, held_out, text) with row and block, written: numbers of the row and of the block that it is scored in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, U), np.empty(0, np.int64)
+        number = block = TaskContext.get().partitionId() << 40
+        n = 0
+        for batch in batches:
+            numbers = []
+            for t in batch.column(2):
+                if n >= size:
+                    block, n = block + 1, 0
+                numbers.append(block)
+                n += len(t.as_buffer())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(number, number + len(numbers))), pa.array(numbers, pa.int64())], ["doc_id", "held_out", "text", "row", "block"])
+            number += len(numbers)
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
+    return materialise(rows.mapInArrow(run, "doc_id long, held_out boolean, text binary, row long, block long"), "blocks")
+
+
+def block_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, n) over all rows of texts(block, held_out, text): each block's grams and how often its training texts
+    have them. A gram of a block may have several rows, whose n add up."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, block = np.empty(0, U), np.empty(0, np.int64), None
         pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block or 0)), pa.array(keys.view(np.int64)), pa.array(counts)], ["block", "gram", "n"])
+
         for batch in batches:
-            for part in blocks(v.as_py() for v in batch.column(0)):
-                pending.append(np.unique(gram_keys(part, order)[0], return_counts=True))
-                if sum(len(p[0]) for p in pending) > _FLUSH:
-                    keys, counts = _summed([(keys, counts), *pending])
-                    pending = []
-                    if len(keys) > _FLUSH:
+            numbers, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            at = 0
+            for part in blocks(v.as_py() for v in batch.column(2)):
+                own, begins = gram_keys(part, order)
+                lengths = np.diff(np.append(begins, len(own)))
+                number, train = np.repeat(numbers[at : at + len(part)], lengths), np.repeat(~held[at : at + len(part)], lengths)
+                at += len(part)
+                for b in np.unique(number):
+                    if b != block or len(keys) > _FLUSH:
+                        keys, counts = _summed([(keys, counts), *pending])
                         yield rows()
-                        keys, counts = np.empty(0, U), np.empty(0, np.int64)
+                        keys, counts, block, pending = np.empty(0, U), np.empty(0, np.int64), b, []
+                    mine = number == b
+                    grams, inverse = np.unique(own[mine], return_inverse=True)
+                    pending.append((grams, np.bincount(inverse, weights=train[mine], minlength=len(grams)).astype(np.int64)))
+                    if sum(len(p[0]) for p in pending) > _FLUSH:
+                        keys, counts = _summed([(keys, counts), *pending])
+                        pending = []
         keys, counts = _summed([(keys, counts), *pending])
         yield rows()
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("block", "held_out", "text").mapInArrow(run, "block long, gram long, n long")
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,28 +250,64 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
 
-def train(texts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The model's levels from all rows of texts(text binary); nodes below the least threshold that fits max_nodes are pruned."""
-    level = materialise(count_grams(texts, order), "grams", free=True)
-    tables = [level.select(F.lit(order + 1).alias("m"), "gram", "n")]
+def train(grams: DataFrame, order: int = ORDER, max_nodes: int | None = None) -> list[DataFrame]:
+    """The model's levels (gram, n), written, from the m = order + 1 down to 1, of grams(gram, n).
+
+    Nothing is left out, unless max_nodes asks for a smaller model: then the nodes below the least power of two that fits it.
+    """
+    levels = [materialise(grams.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "grams", free=True)]
     for m in range(order, 0, -1):
-        level = materialise(level.groupBy(F.col("gram").bitwiseAND((1 << 8 * m) - 1).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        tables.append(level.select(F.lit(m).alias("m"), "gram", "n"))
-    nodes = tables[0]
-    for t in tables[1:]:
-        nodes = nodes.union(t)
+        levels.append(materialise(levels[-1].groupBy(_last(F.col("gram"), m).alias("gram")).agg(F.sum("n").alias("n")), "grams", free=True))
+    if max_nodes is None:
+        return levels
+    nodes = reduce(DataFrame.union, levels)
     sizes = {int(r.b): r["count"] for r in nodes.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}  # at most 64 rows
     least = 0
     while sum(n for b, n in sizes.items() if b >= least) > max_nodes:
         least += 1
-    kept = nodes.where(F.col("n") >= 1 << least).toArrow()  # max_nodes rows at most
-    level_of, grams, times = (kept.column(c).to_numpy() for c in ("m", "gram", "n"))
-    out = []
-    for m in range(order + 1, 0, -1):
-        keys, counts = grams[level_of == m].view(U), times[level_of == m]
-        sort = np.argsort(keys)
-        out.append((keys[sort], counts[sort]))
-    return out
+    return [t.where(F.col("n") >= 1 << least) for t in levels]
+
+
+def _last(gram: Column, m: int) -> Column:
+    return gram if m == 8 else gram.bitwiseAND((1 << 8 * m) - 1)
+
+
+def score_grams(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(gram, log): the log10 probability of the last symbol of each of grams(gram), which are distinct, in the context before it."""
+    out = None
+    left = grams.select("gram", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("mass"), F.lit(0).cast("long").alias("kinds"))
+    for i, level in enumerate(levels):
+        m = len(levels) - i
+        context = F.shiftrightunsigned("gram", 8)
+        weighed = level.withColumn("lower", F.lit(0).cast("long"))
+        if m > 1:  # what the context's symbols weigh one order below
+            weighed = level.withColumn("suffix", _last(F.col("gram"), m - 1)).join(levels[i + 1].toDF("suffix", "lower"), "suffix")
+        contexts = weighed.groupBy(context.alias("context")).agg(F.sum("n").alias("of_total"), F.count("*").alias("of_kinds"), F.sum("lower").alias("of_mass"))
+        known = left.withColumn("key", _last(F.col("gram"), m)).join(level.toDF("key", "n"), "key", "left").withColumn("context", F.shiftrightunsigned("key", 8)).join(contexts, "context", "left")
+        known = known.withColumns({"total": F.col("of_total") - F.col("mass"), "kind": F.col("of_kinds") - F.col("kinds")})
+        below = F.log10(F.greatest(F.col("total") + F.col("kind"), F.lit(1)))
+        known = materialise(known.select(
+            "gram", (F.col("n").isNotNull()).alias("hit"),
+            (F.col("log") + F.when(F.col("n").isNotNull(), F.log10("n") - below).when(F.col("kind") > 0, F.log10("kind") - below).otherwise(0.0)).alias("log"),
+            F.coalesce("of_mass", F.lit(0)).alias("mass"), F.coalesce("of_kinds", F.lit(0)).alias("kinds"),
+        ), "scored-grams", free=True)
+        hits = known.where("hit").select("gram", "log")
+        out = hits if out is None else out.union(hits)
+        left = known.where("not hit").drop("hit")
+    return out.union(left.select("gram", (F.col("log") - F.log10(F.lit(SYMBOLS) - F.col("kinds"))).alias("log")))
+
+
+@tidy
+def gram_logs(grams: DataFrame, order: int, max_nodes: int | None) -> DataFrame:
+    """(gram, log) of all of grams(block, gram, n), by the model that they are counted to."""
+    return score_grams(grams.select("gram").distinct(), train(grams, order, max_nodes))
+
+
+@tidy
+def block_scores(rows: DataFrame, order: int, max_nodes: int | None) -> DataFrame:
+    """(block, gram, log): the scores that each block of rows needs; some may stand in it twice."""
+    grams = materialise(block_grams(rows, order), "block-grams")
+    return grams.select("block", "gram").join(gram_logs(grams, order, max_nodes), "gram")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -267,7 +335,7 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, head_words: int = HEAD_WORDS, folds: int = 5, held_fold: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int | None = None, head_words: int = HEAD_WORDS, folds: int = 5, held_fold: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Both models learn from all rows outside the held-out fold. base_score is the add-half unigram log10 probability of
@@ -275,9 +343,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as they occur; an empty training fold leaves uniform models; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), text)
+    rows = in_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), text), block_bytes)
     training = rows.where("not held_out").select("text")
-    levels = train(training, order, max_nodes)
+    scores = block_scores(rows, order, max_nodes)
     vocabulary = materialise(count_words(training), "vocabulary", free=True)
     sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = training.count()
@@ -286,36 +354,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # head_words rows at most
     words, times = top.column("word").to_pylist(), top.column("c").to_pylist()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((levels, dict(zip(words, times, strict=True))))
+    shared = spark.sparkContext.broadcast(dict(zip(words, times, strict=True)))
     least = (times[-1], words[-1]) if len(words) == head_words else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, counts = shared.value
-        model = Ppm(levels)
-        logs = {w: math.log10(c + 0.5) for w, c in counts.items()}
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            at = 0
-            for part in blocks(x.as_py() for x in batch.column(2)):
-                out = []
-                for t in part:
-                    words = t.translate(LOWER).split()
-                    got = list(map(logs.get, words))
-                    rare = Counter(w for w, g in zip(words, got, strict=True) if g is None) if None in got else {}
-                    inside = [g for g in got if g is not None]
-                    base = math.fsum(inside) + math.log10(ends + 0.5) + sum(rare.values()) * math.log10(0.5) - (len(words) + 1) * below
-                    out.append((number, len(words) + 1, len(inside) + (ends > 0), base, list(rare), list(rare.values())))
-                    number += 1
-                ids, a, b, c, d, e = zip(*out, strict=True)
-                part_rows = batch.slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [part_rows.column(0), part_rows.column(1), pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(model.texts(part, order)), pa.array(d, pa.list_(pa.binary())), pa.array(e, pa.list_(pa.int64()))],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
-                )
+    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
+        logs = {w: math.log10(c + 0.5) for w, c in shared.value.items()}
+        table, score_of = _Table(scores.column("gram").to_numpy().view(U)), scores.column("log").to_numpy()
+        found = []
+        for part in blocks(x.as_py() for x in texts.column("text")):
+            keys, begins = gram_keys(part, order)
+            byte_scores = np.add.reduceat(score_of[table.find(keys)], begins)
+            for t, score in zip(part, byte_scores.tolist(), strict=True):
+                words = t.translate(LOWER).split()
+                got = list(map(logs.get, words))
+                rare = Counter(w for w, g in zip(words, got, strict=True) if g is None) if None in got else {}
+                inside = [g for g in got if g is not None]
+                base = math.fsum(inside) + math.log10(ends + 0.5) + sum(rare.values()) * math.log10(0.5) - (len(words) + 1) * below
+                found.append((len(words) + 1, len(inside) + (ends > 0), base, score, list(rare), list(rare.values())))
+        a, b, c, s, d, e = zip(*found, strict=True)
+        return pa.table(
+            [texts.column("doc_id"), texts.column("held_out"), texts.column("row"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(s, pa.float64()), pa.array(d, pa.list_(pa.binary())), pa.array(e, pa.list_(pa.int64()))],
+            ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
+        )
 
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-    scored = materialise(rows.mapInArrow(run, schema), "scored")
+    scored = materialise(rows.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(run, schema), "scored", free=True)
     out = scored.drop("rare", "times").withColumn("train_tokens", F.lit(n).cast("long"))
     if least is not None:  # words beyond the head that the training texts have
         tail = vocabulary.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))

@@ -71,3 +71,21 @@ def test_pruned_nodes_and_empty_model(spark):
 
 def test_empty_table(spark):
     assert score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_model_has_no_bound_and_blocks_do_not_matter(spark):
+    import inspect
+
+    assert inspect.signature(score_documents).parameters["max_nodes"].default is None
+    rows = docs(30)
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    one, many = (sorted((tuple(r) for r in score_documents(frame, order=5, **more).collect()), key=repr) for more in ({}, {"block_bytes": 100}))
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    trie = Trie(5)
+    for d, t, *_ in rows:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1:
+            data = bytes([START]) * 5 + (t or "").encode().translate(LOWER)
+            for i, s in enumerate([*data[5:], END]):
+                trie.learn(data[i : i + 5], s)
+    assert sorted(r[6] for r in many) == pytest.approx(sorted(trie.code((t or "").encode(), adaptive=False) for _, t, *_ in rows))
