@@ -5,12 +5,13 @@ sent to one shard for each of several min-hashes: two documents of similarity s
 the work grows with the number of nodes. A shard is a small-world graph over Hamming distance; every node asks it for its
 neighbours by a beam search (each part of a large shard is a graph of its own, which all the shard's nodes ask), and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
 beyond their own class, up to the whole shard. Edges are verified on the whole shingle sets, and verified edges are
-joined into classes. Recall is audited against an exact search of all nodes by a sample of them, and shards are added if
-it is low.
+joined into classes. Recall is audited by comparing the shingle sets of a sample of nodes with those of all nodes; shards
+are added if it is low, and the job fails if it stays so.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -40,6 +41,7 @@ ENTRIES = 8
 #: Nodes that the audit searches for exactly, and the recall it asks for.
 AUDITED, LEAST_RECALL = 256, 0.9
 U = np.uint64
+_LOG = logging.getLogger(__name__)
 
 
 def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -287,13 +289,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialise(nodes.select("a", "b", "first.doc", "first.mark", "size", "s1", "s2", "mins").withColumn("id", F.monotonically_increasing_id()), "nodes")
     several = nodes.where(F.col("size") >= 4)  # smaller sets are as similar to equal sets only, which are one node
     edges, tried, done = None, None, 0
-    while done < most_shardings:
+    while True:
         until = shardings if not done else done + MORE_SHARDINGS
         shards = _sharded(several, done, until, shard_nodes)
         edges, tried = _joined(shards, several, keyed, edges, tried, threshold, width, radius, neighbours)
         done = until
-        if not audited or done >= most_shardings or audit(several, keyed, edges, threshold, width, radius, audited) >= LEAST_RECALL:
+        if not audited:
+            break
+        recall = audit(several, keyed, edges, threshold, width, audited)
+        _LOG.info("recall %.4f after %d shardings", recall, done)
+        if recall >= LEAST_RECALL:
             break
+        if done >= most_shardings:
+            raise RuntimeError(f"recall {recall:.4f} after {done} shardings is under {LEAST_RECALL}")
     named = _labels(nodes.select("a", "b", "id"), edges).select("a", "b", "group")
     out = rows.select("doc", "mark", "a", "b").join(named, ["a", "b"])
     classes = materialise(out.groupBy("group").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size")), "classes")
@@ -333,25 +341,43 @@ def _with(edges: DataFrame | None, more: DataFrame) -> DataFrame:
     return materialise(more if edges is None else edges.union(more), "edges")
 
 
-def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold: Fraction, width: int, radius: int, audited: int) -> float:
-    """The share of a sample's true pairs whose documents stand in one class; the sample is compared with every node."""
-    sample = nodes.orderBy(F.xxhash64("id")).limit(audited).select("id", "s1", "s2", "size").toArrow()  # audited rows
-    shared = nodes.sparkSession.sparkContext.broadcast([sample.column(c).to_numpy() for c in ("id", "s1", "s2", "size")])
+def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold: Fraction, width: int, audited: int) -> float:
+    """The share of a sampled node's true neighbours that stand in its class, averaged over the sample.
+
+    The neighbours are found by comparing whole shingle sets with all texts, without codes. Nodes with similar numbers of
+    neighbours (by powers of two) are averaged first, so that a large class counts as one of several.
+    """
+    sample = nodes.orderBy(F.xxhash64("id")).limit(audited).select("doc", "mark", "id")
+    texts = fitted_join(keyed, sample, ["doc", "mark"], "inner").dropDuplicates(["id"]).select("id", "text").toArrow()  # audited rows
+    if not texts.num_rows:
+        return 1.0
+    x, sizes, _, _ = _shingles(texts.column("text").to_pylist(), width)
+    order = np.argsort(x, kind="stable")
+    shared = nodes.sparkSession.sparkContext.broadcast((x[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes, texts.column("id").to_numpy()))
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, s1, s2, sizes = shared.value
+        x, owner, sizes, ids = shared.value
+        values, first, number = np.unique(x, return_index=True, return_counts=True)
         for batch in batches:
-            x, a, b, n = (batch.column(i).to_numpy() for i in range(4))
-            d = np.bitwise_count(s1[:, None] ^ a) + np.bitwise_count(s2[:, None] ^ b)
-            i, j = np.nonzero((d <= radius) & (np.minimum(sizes[:, None], n) * den >= np.maximum(sizes[:, None], n) * num) & (ids[:, None] != x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(x[j])], ["a", "b"])
-
-    pairs = nodes.select("id", "s1", "s2", "size").mapInArrow(run, "a long, b long")
-    true = materialise(_verified(pairs.distinct(), nodes, keyed, threshold, width), "true")
+            for at in range(0, batch.num_rows, 16):
+                y, n, a, b = _shingles(batch.slice(at, 16).column(0).to_pylist(), width)
+                place = np.minimum(np.searchsorted(values, y), len(values) - 1)
+                hit = np.flatnonzero(values[place] == y)
+                of, times = place[hit], number[place[hit]]
+                owners = owner[np.repeat(first[of] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+                pair, common = np.unique(np.repeat(np.repeat(np.arange(len(n)), n)[hit], times) * len(ids) + owners, return_counts=True)
+                i, j = pair // len(ids), pair % len(ids)
+                good = common * den >= (n[i] + sizes[j] - common) * num
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[i[good]].view(np.int64), b[i[good]].view(np.int64), ids[j[good]])], ["a", "b", "asked"])
+
+    pairs = keyed.select("text").mapInArrow(run, "a long, b long, asked long").distinct()
+    true = materialise(pairs.join(nodes.select("a", "b", "id"), ["a", "b"]).where("id <> asked").select("asked", "id"), "true")
     labels = materialise(_labels(nodes.select("id"), edges), "labels")
-    met = true.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b").agg(F.count("*").alias("n"), F.count_if(F.col("ga") == F.col("gb")).alias("k")).first()
-    return met.k / met.n if met.n else 1.0
+    met = true.join(labels.toDF("asked", "ga"), "asked").join(labels.toDF("id", "gb"), "id")
+    each = met.groupBy("asked").agg(F.count("*").alias("n"), F.avg((F.col("ga") == F.col("gb")).cast("double")).alias("share"))
+    recall = each.groupBy(F.floor(F.log2("n"))).agg(F.avg("share").alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if recall is None else recall
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm.simhash_dedup import keep_one, near, near_duplicates
@@ -132,3 +133,25 @@ def test_repeated_words_and_phrases_have_equal_sets(spark):
     rows += [(100, "spam " * 4), (101, "spam " * 3), (102, "spam spam spam"), (103, None)]
     got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(frame(spark, rows), audited=0).collect()}
     assert got == brute(rows) and got[3] == (0, 4) and got[101] == (101, 2)
+
+
+def test_a_search_that_misses_pairs_fails(spark):
+    with pytest.raises(RuntimeError, match="recall"):
+        near_duplicates(frame(spark, corpus(5, 6, 6)), radius=0)
+
+
+def test_audit_is_not_outweighed_by_a_large_class(spark):
+    from heddle.llm import simhash_dedup as sd
+
+    r = random.Random(8)
+    base = ["g%d" % i for i in range(100)]
+    rows = [(i, " ".join(base + ["e%d" % i])) for i in range(30)]
+    for i in range(10):
+        own = ["w%d" % r.randrange(10**9) for _ in range(60)]
+        rows += [(100 + 2 * i, " ".join(own)), (101 + 2 * i, " ".join(own + ["x"]))]
+    keyed = sd._keyed(frame(spark, rows), "doc_id", "text")
+    nodes = sd._scan(keyed, 1, 5).withColumn("id", F.col("doc"))
+    group = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    whole = group.union(spark.createDataFrame([(100 + 2 * i, 101 + 2 * i) for i in range(10)], "a long, b long"))
+    assert sd.audit(nodes, keyed, group, sd.THRESHOLD, 5, 256) == 0.5
+    assert sd.audit(nodes, keyed, whole, sd.THRESHOLD, 5, 256) == 1.0
