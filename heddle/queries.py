@@ -64,6 +64,13 @@ sql("q_predicates_3vl", """
            NULLIF(event_type, 'error') AS n, COALESCE(NULLIF(event_type, 'click'), 'none') AS co, value BETWEEN 10 AND 20 AS b,
            event_type IN ('click', 'view') AS i, (NULLIF(event_type, 'error') IS DISTINCT FROM 'click') AS d, NOT (value > 3) AS nn
     FROM events WHERE event_id < 500""")
+# The queries named _whole do the same over whole tables.
+sql("q_projection_arithmetic_whole", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + 1 AS q1, -l_tax AS neg_tax, l_orderkey % 7 AS m FROM lineitem")
+sql("q_predicates_3vl_whole", """
+    SELECT event_id, CASE WHEN value > 50 AND event_type = 'click' THEN 1 WHEN value IS NULL THEN 2 ELSE 0 END AS c,
+           NULLIF(event_type, 'error') AS n, COALESCE(NULLIF(event_type, 'click'), 'none') AS co, value BETWEEN 10 AND 20 AS b,
+           event_type IN ('click', 'view') AS i, (NULLIF(event_type, 'error') IS DISTINCT FROM 'click') AS d, NOT (value > 3) AS nn
+    FROM events""")
 sql("q_like_any", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE ANY ('small%', '%ring') AND p_type NOT LIKE 'ECO%'", "SELECT p_partkey, p_name FROM part WHERE (p_name LIKE 'small%' OR p_name LIKE '%ring') AND p_type NOT LIKE 'ECO%'")
 sql("q_in_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 sql("q_scalar_subquery", "SELECT p_partkey, p_retailprice > (SELECT AVG(p_retailprice) FROM part) AS above, (SELECT COUNT(*) FROM lineitem l WHERE l.l_partkey = p.p_partkey) AS n FROM part p")
@@ -96,6 +103,7 @@ sql("q_join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders
 sql("q_join_right", "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
 sql("q_join_full_using", "SELECT k, a, b FROM (SELECT o_custkey AS k, COUNT(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) x FULL JOIN (SELECT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_acctbal > 0) y USING (k)")
 sql("q_join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 3")
+sql("q_join_cross_whole", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql("q_join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("q_join_nested", "SELECT n_name, r_name, s_suppkey FROM (nation JOIN region ON n_regionkey = r_regionkey) JOIN supplier ON s_nationkey = n_nationkey")
 sql("q_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -111,6 +119,11 @@ def _(t):
     return rel.unnest(t("embeddings").where("vec_id < 20"), "embedding", "x", "pos").select("vec_id", "pos", F.col("x").cast("double").alias("x"))
 
 
+@query("q_unnest_offset_whole", "SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def _(t):
+    return rel.unnest(t("embeddings"), "embedding", "x", "pos").select("vec_id", "pos", F.col("x").cast("double").alias("x"))
+
+
 @query("q_unnest_left", "SELECT doc_id, w FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [lang, source] ELSE [NULL] END) AS w FROM documents)")
 def _(t):
     d = t("documents").withColumn("a", F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>")))

@@ -49,3 +49,10 @@ def test_entry_module_offers_all(spark):
 
     assert set(registry.QUERIES) <= set(e.queries()) and set(registry.ORACLE) <= set(e.oracle_sql())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, table", [("q_projection_arithmetic", "lineitem"), ("q_predicates_3vl", "events"), ("q_join_cross", "nation"), ("q_unnest_offset", "embeddings")])
+def test_a_query_over_the_whole_table_is_registered(spark, duck, name, table):
+    rows = {"nation": "SELECT count(*) * (SELECT count(*) FROM region) FROM nation", "embeddings": "SELECT sum(len(embedding)) FROM embeddings"}
+    want = duck.execute(rows.get(table, f"SELECT count(*) FROM {table}")).fetchone()[0]
+    assert registry.QUERIES[name + "_whole"](spark, FOLDER).count() == want
