@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 _LOCAL: dict[str, str] = {}
-_PATHS: list[str] = []  # of scratch tables, in the order of their making
+_LEFT: dict[str, SparkSession] = {}  # scratch tables outside any tidy() call
+_MADE: ContextVar[list[list[str]]] = ContextVar("made", default=[])  # those of the tidy() calls that run, in this thread
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, whose
+    only executor is the driver; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="heddle-"))
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is removed when the driver's Python ends."""
+    """A new path below the shared folder. It goes when the tidy() call that it was made in ends, else with the driver's Python."""
     path = f"{shared_dir(spark)}/heddle/{name}-{uuid.uuid4().hex}"
-    _PATHS.append(path)
-    atexit.register(remove, spark, path)
+    if made := _MADE.get():
+        made[-1].append(path)
+    else:
+        _LEFT[path] = spark
     return path
 
 
@@ -48,6 +59,25 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended: the folder goes with the cluster's clean-up
         pass
+    _LEFT.pop(path, None)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_LEFT.items()):
+        remove(spark, path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Sends Python BATCH_ROWS rows at a time at most, so that a batch of long texts fits a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
@@ -57,21 +87,25 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     if free:
         spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """f with its result written, and the scratch tables that it made on the way deleted once that is done."""
+    """f with its result written, and the scratch tables that this call made on the way deleted once that is done."""
 
     @wraps(f)
     def run(*args, **kwargs) -> DataFrame:
-        before = len(_PATHS)
-        df = f(*args, **kwargs)
-        made = _PATHS[before:]
-        out = materialise(df, f.__name__, free=True)
+        made: list[str] = []
+        token = _MADE.set([*_MADE.get(), made])
+        try:
+            df = f(*args, **kwargs)
+        finally:
+            _MADE.reset(token)
+        out = materialise(df, f.__name__, free=True)  # belongs to the caller
         for path in made:
             remove(df.sparkSession, path)
         return out

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _TABLE = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=U)
@@ -10,14 +14,32 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are hashed together, so that their temporary arrays stay small; a longer word is hashed by itself.
+CHUNK = 1 << 18
+#: Bytes of text in a part of a batch; a longer text is a part of its own.
+PART_BYTES = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch cut into slices of about size bytes of text."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64) + 8)
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        _POWERS[:] = [np.cumprod(np.append(U(1), np.full(size - 1, b, U)), dtype=U) for b in (_BASE, _INVERSE)]
-    return _POWERS[0][:n], _POWERS[1]
+    """Powers of the base and of its inverse; those for a chunk are kept."""
+    size = max(n, CHUNK)
+    if size == CHUNK and _POWERS:
+        return _POWERS[0], _POWERS[1]
+    made = [np.cumprod(np.append(U(1), np.full(size - 1, b, U)), dtype=U) for b in (_BASE, _INVERSE)]
+    if size == CHUNK:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,15 +58,26 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     start, end = edge[0::2], edge[1::2]
     if len(data) == 0 or not len(start):
         return np.empty(0, U), np.empty(0, np.int64), text_of, number
+    h = np.empty(len(start), U)
+    cuts = np.flatnonzero(np.append(True, start[1:] // CHUNK != start[:-1] // CHUNK))
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(start)], strict=True):
+        j_short = j - (end[j - 1] - start[i] > CHUNK and j - i > 1)  # a last word that leaves the chunk goes by itself
+        for a, b in ((i, j_short), (j_short, j)):
+            if a < b:
+                h[a:b] = _hashed(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a])
+    return h, np.searchsorted(feeds, start), text_of, number
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data))
-    sums = np.cumsum(_TABLE[data] * up, dtype=U)
+    sums = np.cumsum(_TABLE[data] * up[: len(data)], dtype=U)
     h = sums[end - 1] - np.where(start > 0, sums[start - 1], U(0))
     h *= down[start]
     h += (end - start).astype(U) * U(0xD6E8FEB86659FD93)
     h ^= h >> U(32)
     h *= U(0xBF58476D1CE4E5B9)
     h ^= h >> U(29)
-    return h, np.searchsorted(feeds, start), text_of, number
+    return h
 
 
 def sets_of(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
