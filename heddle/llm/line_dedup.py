@@ -5,7 +5,8 @@ its prefix, and two lines whose Jaccard similarity reaches the threshold share a
 filtered by length, by position, and by a 128-bit parity sketch whose distance never exceeds the sets' difference; what
 passes is verified on the whole sets. A line goes when an earlier line is at least as similar as the threshold.
 
-Equal sets are one node of the join, however often they occur. Where a posted token has many lines, these are first
+Equal sets are one node of the join, however often they occur. Postings travel as packed columns, one row for each hash
+range of tokens, and meet there in numpy. Where a posted token occurs often, its lines are joined by Spark instead: they are first
 compared with the token's earliest ones; only lines without a match go on to all others, so that a thousand variants of
 one line don't become all their pairs.
 """
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import fitted_join, materialise, tidy
 from heddle.llm.lm_scoring import _summed
-from heddle.llm.words import hashed_words, sets_of
+from heddle.llm.words import hashed_words, parts, sets_of
 
 THRESHOLD = Fraction(4, 5)
 #: Most frequent tokens, whose order is their count; all others are rarer than these and ordered by their hash.
 RANKED = 100_000
-#: Lines with one posted token, from which on its earliest lines are tried first; and how many of those.
+#: Occurrences of a posted token, from which on its earliest lines are tried first; and how many of those.
 MANY, EARLIEST = 1000, 32
-#: Parts of the tokens, by hash, whose postings meet one after another, so that a part's shuffle is on disk at a time.
-SLICES = 4
+#: Tokens or postings that a task gathers before it sends them on, as one row for each hash range.
+FLUSH = 400_000
 U = np.uint64
 
 
@@ -55,37 +56,73 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _scan(keyed: DataFrame) -> DataFrame:
-    """Rows of two kinds: (0, doc, mark, no, set key) for each line with words, (1, ..., token, count) for token counts."""
+def _ranges(docs: DataFrame) -> int:
+    """Hash ranges that tokens are dealt to: a power of two that grows with the shuffle partitions."""
+    return 1 << max(6, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (_mix(h, 11) >> U(65 - ranges.bit_length())).astype(np.int64)
+
+
+def _packed(by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(number, the columns' bytes) for each number in by."""
+    order = np.argsort(by, kind="stable")
+    by = by[order]
+    first = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else []
+    columns = [c[order] for c in columns]
+    for i, j in zip(first, [*first[1:], len(by)], strict=True):
+        yield int(by[i]), [c[i:j].tobytes() for c in columns]
+
+
+def _scan(keyed: DataFrame, ranges: int) -> DataFrame:
+    """Rows of two kinds: (0, doc, mark, no, set key) for each line with words, (1, ..., no the range, tokens, counts) for token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc", "mark", "no", "a", "b"]
-        zeros = lambda n: pa.array(np.zeros(n, np.int64))
-        keys, counts, pending = np.empty(0, U), np.empty(0, np.int64), []
+        names = ["kind", "doc", "mark", "no", "a", "b", "tokens", "counts"]
+        keys, counts, pending, waiting = np.empty(0, U), np.empty(0, np.int64), [], 0
 
         def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zeros(len(keys)), zeros(len(keys)), pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names)
+            packed = list(_packed(_range_of(keys, ranges), keys, counts.astype(np.int32)))
+            none = pa.array(np.zeros(len(packed), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(packed), np.int32)), none, none, pa.array([r for r, _ in packed], pa.int32()), none, none, pa.array([x[0] for _, x in packed], pa.binary()), pa.array([x[1] for _, x in packed], pa.binary())], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in parts(batch, 2):
                 h, line, row, no = hashed_words(_lower(part.column(2).to_pylist()))
                 h, sizes = sets_of(h, line, len(row))
                 full = np.flatnonzero(sizes)
                 first, second = _reduce(np.add, _mix(h, 1), sizes)[full], _reduce(np.bitwise_xor, _mix(h, 2), sizes)[full]
-                taken = pa.array(row[full])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), np.int32)), part.column(0).take(taken), part.column(1).take(taken), pa.array(no[full].astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], names)
+                taken, none = pa.array(row[full]), pa.nulls(len(full), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), np.int32)), part.column(0).take(taken), part.column(1).take(taken), pa.array(no[full].astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), none, none], names)
                 pending.append(np.unique(h, return_counts=True))
-                if sum(len(p[0]) for p in pending) > 1_500_000:
+                waiting += len(pending[-1][0])
+                if waiting > FLUSH:
                     keys, counts = _summed([(keys, counts), *pending])
-                    pending = []
-                    if len(keys) > 1_000_000:
+                    pending, waiting = [], 0
+                    if len(keys) > FLUSH:
                         yield counted()
                         keys, counts = np.empty(0, U), np.empty(0, np.int64)
         keys, counts = _summed([(keys, counts), *pending])
-        yield counted()
+        if len(keys):
+            yield counted()
+
+    return keyed.mapInArrow(run, "kind int, doc long, mark long, no int, a long, b long, tokens binary, counts binary")
+
+
+def _frequent(found: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens of each hash range, RANKED numbers at most in all, and their counts over all texts, most frequent first."""
+    share = -(-RANKED // ranges)
 
-    return keyed.mapInArrow(run, "kind int, doc long, mark long, no int, a long, b long")
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts = _summed([(np.frombuffer(k.as_py(), U), np.frombuffer(c.as_py(), np.int32).astype(np.int64)) for k, c in zip(t.column("tokens"), t.column("counts"), strict=True)])
+        top = np.lexsort((keys, -counts))[:share]
+        return pa.table({"token": keys[top].view(np.int64), "n": counts[top]})
+
+    got = found.where("kind = 1").select("no", "tokens", "counts").groupBy("no").applyInArrow(run, "token long, n long").toArrow()  # RANKED rows
+    tokens, n = got.column("token").to_numpy().view(U), got.column("n").to_numpy()
+    order = np.lexsort((tokens, -n))
+    return tokens[order], n[order]
 
 
 def _lower(texts: list[str]) -> list[bytes]:
@@ -105,32 +142,107 @@ def _chosen_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, sizes, ids
 
 
-def _postings(keyed: DataFrame, asked: DataFrame, ranked: np.ndarray, threshold: Fraction) -> DataFrame:
-    """(token, id, place, s1, s2): the prefixes of the asked lines; place holds the set's size and, in 20 bits, the token's position."""
+def _postings(keyed: DataFrame, asked: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: Fraction, many: int, ranges: int) -> DataFrame:
+    """(range, hot, tokens, ids, places, s1, s2): the prefixes of the asked lines, as bytes of columns; a place holds the set's size
+    and, in 20 bits, the token's position. Postings of tokens that occur more than many times are hot and go to any range."""
     rows = fitted_join(keyed, asked, ["doc", "mark"], "inner").select("text", "nos", "ids")
-    by_hash = np.argsort(ranked)
-    shared = keyed.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))  # RANKED numbers at most
+    by_hash = np.argsort(frequent[0])
+    shared = keyed.sparkSession.sparkContext.broadcast((frequent[0][by_hash], by_hash, frequent[1][by_hash] > many))  # RANKED numbers at most
     num, den = threshold.numerator, threshold.denominator
+    least = _least_size(threshold)
+    names = ["range", "hot", "tokens", "ids", "places", "s1", "s2"]
+
+    def packed(columns: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        sorted_hashes, _, is_hot = shared.value
+        token, *others = (np.concatenate(c) for c in zip(*columns, strict=True))
+        i = np.minimum(np.searchsorted(sorted_hashes, token), max(0, len(sorted_hashes) - 1))
+        hot = (sorted_hashes[i] == token) & is_hot[i] if len(sorted_hashes) else np.zeros(len(token), bool)
+        to = np.where(hot, ranges + np.arange(len(token)) * 7919 % ranges, _range_of(token, ranges))
+        out = list(_packed(to, token, *others))
+        return pa.RecordBatch.from_arrays([pa.array([r % ranges for r, _ in out], pa.int32()), pa.array([r >= ranges for r, _ in out], pa.bool_()), *(pa.array([x[k] for _, x in out], pa.binary()) for k in range(5))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorted_hashes, rank_of = shared.value
+        sorted_hashes, rank_of, _ = shared.value
+        pending, waiting = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                h, sizes, ids = _chosen_sets(batch.slice(at, 256))
+            for part in parts(batch, 0):
+                h, sizes, ids = _chosen_sets(part)
                 places = _places(h, sorted_hashes, rank_of)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.argsort(row << 50 | places) if len(sizes) < 8192 else np.lexsort((places, row))
                 pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = sizes - -(-sizes * num // den) + 1
+                prefix = np.where(sizes >= least, sizes - -(-sizes * num // den) + 1, 0)
                 in_prefix = pos < prefix[row]  # row is sorted already, so positions fit the new order
                 bit = U(1) << (h & U(63))
                 s1 = _reduce(np.bitwise_xor, np.where(h & U(64), U(0), bit), sizes)
                 s2 = _reduce(np.bitwise_xor, np.where(h & U(64), bit, U(0)), sizes)
-                kept = h[order][in_prefix]
                 r = row[in_prefix]
-                yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(ids[r]), pa.array(sizes[r] << 20 | pos[in_prefix] & 0xFFFFF), pa.array(s1[r].view(np.int64)), pa.array(s2[r].view(np.int64))], ["token", "id", "place", "s1", "s2"])
+                pending.append((h[order][in_prefix], ids[r], sizes[r] << 20 | np.minimum(pos[in_prefix], 0xFFFFF), s1[r], s2[r]))
+                waiting += len(r)
+                if waiting > FLUSH:
+                    yield packed(pending)
+                    pending, waiting = [], 0
+        if waiting:
+            yield packed(pending)
+
+    return rows.mapInArrow(run, "range int, hot boolean, tokens binary, ids binary, places binary, s1 binary, s2 binary")
+
+
+def _met(postings: DataFrame, threshold: Fraction) -> DataFrame:
+    """(token, x, y, s1, s2): the pairs that the postings of each range leave possible, x the later; and, with token not null, their
+    hot postings, x the id and y the place."""
 
-    return rows.mapInArrow(run, "token long, id long, place long, s1 long, s2 long")
+    def run(t: pa.Table) -> pa.Table:
+        columns = [c.combine_chunks() for c in t.select(["tokens", "ids", "places", "s1", "s2"]).columns]
+        hot = t.column("hot").to_numpy(zero_copy_only=False)
+        taken = lambda which: [np.frombuffer(b"".join(v.as_py() for v in c.filter(pa.array(which))), kind) for c, kind in zip(columns, (U, np.int64, np.int64, U, U), strict=True)]
+        x, y = meet(*taken(~hot), threshold)
+        token, ids, place, s1, s2 = taken(hot)
+        none = np.zeros(len(x), np.int64)
+        return pa.table({"token": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(token.view(np.int64))]), "x": np.append(x, ids), "y": np.append(y, place), "s1": np.append(none, s1.view(np.int64)), "s2": np.append(none, s2.view(np.int64))})
+
+    return postings.groupBy("range").applyInArrow(run, "token long, x long, y long, s1 long, s2 long")
+
+
+def meet(token: np.ndarray, ids: np.ndarray, place: np.ndarray, s1: np.ndarray, s2: np.ndarray, threshold: Fraction, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (later, earlier) ids of postings that share a token and pass the filters."""
+    num, den = threshold.numerator, threshold.denominator
+    _, token, times = np.unique(token, return_inverse=True, return_counts=True)
+    several = times[token] > 1
+    token, ids, place, s1, s2 = (c[several] for c in (token, ids, place, s1, s2))
+    size = place >> 20
+    order = np.lexsort((size, token))
+    token, ids, place, s1, s2, size = (c[order] for c in (token, ids, place, s1, s2, size))
+    pos = place & 0xFFFFF
+    # Partners come later in the order and are of a size that the threshold allows.
+    most = np.minimum(size * den // num, (1 << 40) - 1)
+    until = np.searchsorted(token << 40 | size, token << 40 | most, side="right")
+    number = until - np.arange(len(token)) - 1
+    ends = np.cumsum(number)
+    xs, ys = [], []
+    at = 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
+        n = number[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        total = size[i] + size[j]
+        differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        good = np.flatnonzero(differ * (num + den) <= total * (den - num))
+        i, j, total = i[good], j[good], total[good]
+        overlap = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+        long = (size[i] >= 1 << 20) | (size[j] >= 1 << 20)  # positions don't fit the bits: no positional filter
+        good = (ids[i] != ids[j]) & (long | (overlap * (num + den) >= total * num))
+        xs.append(np.maximum(ids[i], ids[j])[good])
+        ys.append(np.minimum(ids[i], ids[j])[good])
+        at = to
+    if not xs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.empty(0, bool)
+    return x[new], y[new]
 
 
 def _places(hashes: np.ndarray, sorted_hashes: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
@@ -148,8 +260,8 @@ def _sets(keyed: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                h, sizes, ids = _chosen_sets(batch.slice(at, 256))
+            for part in parts(batch, 0):
+                h, sizes, ids = _chosen_sets(part)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "tokens"])
 
     return rows.mapInArrow(run, "id long, tokens array<long>")
@@ -198,10 +310,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never match. Words end at ASCII white space. Rows that repeat an id and a text are one document. Tokens are told apart by 64-bit hashes.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = materialise(_scan(keyed), "lines")
+    ranges = _ranges(docs)
+    found = materialise(_scan(keyed, ranges), "lines")
     lines = found.where("kind = 0").select("doc", "mark", "no", "a", "b")
-    counts = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(RANKED).select("a")
-    ranked = counts.toArrow().column(0).to_numpy().view(U)  # RANKED numbers at most
+    frequent = _frequent(found, ranges)
 
     order = F.struct(F.col("doc").isNull().alias("late"), "doc", "mark", "no")
     sets = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -209,17 +321,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialise(sets.repartitionByRange("late", "doc", "mark", "no").sortWithinPartitions("late", "doc", "mark", "no").withColumn("id", F.monotonically_increasing_id()), "sets", free=True)
 
     asked = sets.groupBy("doc", "mark").agg(F.collect_list("no").alias("nos"), F.collect_list("id").alias("ids"))
-    postings = materialise(_postings(keyed, asked, ranked, threshold).where(F.shiftright("place", 20) >= _least_size(threshold)), "postings", free=True)
-    crowded = materialise(postings.groupBy("token").count().where(F.col("count") > many).select("token"), "crowded")
-    some = not crowded.isEmpty()
-    few = postings.join(crowded, "token", "left_anti") if some else postings
-    pairs = None
-    for i in range(SLICES):
-        part = few.where(F.pmod(F.col("token"), F.lit(SLICES)) == i)
-        part = materialise(_pairs(part, part, threshold), "pairs", free=True)
-        pairs = part if pairs is None else pairs.union(part)
+    postings = _postings(keyed, asked, frequent, threshold, many, ranges)
+    met = materialise(_met(postings, threshold), "met", free=True)
+    pairs = met.where("token is null").select("x", "y")
+    hot = met.where("token is not null").select("token", F.col("x").alias("id"), F.col("y").alias("place"), "s1", "s2")
+    some = not hot.isEmpty()
     if some:
-        hot = materialise(postings.join(crowded, "token"), "hot")
         salted = hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
         for by in (["token", "salt"], ["token"]):
             salted = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= earliest)
