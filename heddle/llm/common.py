@@ -5,8 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from contextvars import ContextVar
 from functools import reduce, wraps
 
@@ -68,16 +67,11 @@ def _clean() -> None:
         remove(spark, path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Sends Python BATCH_ROWS rows at a time at most, so that a batch of long texts fits a worker."""
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python BATCH_ROWS rows at a time at most, so that a batch of long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
@@ -87,8 +81,8 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    with small_batches(spark):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     if free:
         spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

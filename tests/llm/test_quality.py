@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from heddle.llm.quality import _forward, _gradients, fit, held_out_scores, keep_quality, probabilities, train
+from heddle.llm.quality import BLOCK, FILTERS, HALF, STEP, _forward, _gradients, _padded, _pools, byte_features, fit, held_out_scores, keep_quality, probabilities, train
 
 
 def corpus(n=400):
@@ -62,3 +62,38 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert held_out_scores(docs, labels).collect()[0].score == pytest.approx(0.5, abs=0.01)
     assert held_out_scores(docs.where("false"), labels).count() == 0
+
+
+def plain(m, text):
+    """The network by plain loops over one text."""
+    n = max(1, -(-len(text) // HALF))
+    vector = [byte_features()[b].astype(float) for b in text.ljust(n * HALF, b"\0")]
+    step = [np.concatenate(vector[i : i + STEP]) for i in range(0, n * HALF, STEP)]
+    halves = []
+    for h in range(n):
+        best = np.full(FILTERS, -np.inf)
+        for s in range(h * HALF // STEP, (h + 1) * HALF // STEP):
+            for f in range(FILTERS):
+                y = step[s] @ m.w[:, f] + (step[s + 1] @ m.w[:, FILTERS + f] if s + 1 < len(step) else 0)
+                best[f] = max(best[f], y)
+        halves.append([max(0.0, x + b) for x, b in zip(best, m.b)])
+    chunks = [[max(x, y) for x, y in zip(halves[h], halves[min(h + 1, n - 1)])] for h in range(n)]
+    columns = list(zip(*chunks))
+    logit = sum(v * x for v, x in zip(m.v, [*map(max, columns), *(sum(c) / n for c in columns), *map(min, columns)])) + m.c
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_agrees_with_plain_loops():
+    r = random.Random(9)
+    texts = [bytes(r.choice(b"ab c|\n\x80") for _ in range(n)) for n in (0, 1, 255, 256, 257, 1000, 1500)]
+    m = fit(texts, np.array([0, 1, 0, 1, 0, 1, 0], np.float32), epochs=1)
+    assert probabilities(m, texts) == pytest.approx([plain(m, t) for t in texts], abs=1e-5)
+
+
+def test_a_text_of_many_blocks():
+    m = fit([b"ab" * 50, b"c|d" * 50], np.array([1, 0], np.float32), epochs=2)
+    text = random.Random(1).randbytes(3 * BLOCK * HALF + 77)
+    data, first = _padded([text])
+    whole = _pools(m, data, first)[0]
+    far = [_pools(m, data[i * HALF :], np.array([0]))[0][0] for i in (BLOCK - 1, BLOCK, 2 * BLOCK + 5)]
+    assert np.allclose(whole[[BLOCK - 1, BLOCK, 2 * BLOCK + 5]], far, atol=1e-5)
