@@ -9,7 +9,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators' contracts define it.
@@ -137,9 +137,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(edges, "edges")
     before = None
     for _ in range(max_rounds):
-        edges = materialise(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        seen = Observation()
+        edges = materialise(_small_star(_large_star(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = seen.get
+        if not now["n"] or now == before:
             break
         before = now
     else:

@@ -1,10 +1,11 @@
 """Near-duplicate documents: SimHash codes in navigable small-world graphs, candidate edges verified and unioned.
 
-A document is the set of its five-word shingles. Each distinct set is a node with a 128-bit SimHash. A node is
-sent to one shard for each of several min-hashes: two documents of similarity s meet in a shard with probability s, so
-the work grows with the number of nodes. A shard is a small-world graph over Hamming distance; every node asks it for its
-neighbours by a beam search (each part of a large shard is a graph of its own, which all the shard's nodes ask), and nodes whose neighbours overflow the beam ask again with a beam eight times as wide,
-beyond their own class, up to the whole shard. Edges are verified on the whole shingle sets, and verified edges are
+A document is the set of its five-word shingles. Each distinct set is a node with a 128-bit SimHash. A node is keyed by
+each of several min-hashes: two documents of similarity s share one with probability s. Nodes that share none with any other
+node can't be similar to one and go no further. The others are dealt to shards, all nodes of a key to one shard. A shard is a
+small-world graph over Hamming distance; every node asks it for its neighbours by a beam search, and nodes whose neighbours overflow the beam ask
+again with a beam eight times as wide, beyond their own class; a beam that would visit the whole shard compares it whole. A key of very many nodes is cut into parts, each a
+graph of its own, which all the key's nodes ask. Edges are verified on the whole shingle sets, and verified edges are
 joined into classes. Recall is audited by comparing the shingle sets of a sample of nodes with those of all nodes; shards
 are added if it is low, and the job fails if it stays so.
 """
@@ -16,26 +17,27 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import components, fitted_join, materialise, tidy
 from heddle.llm.line_dedup import _lower, _mix, _reduce
 from heddle.llm.small_world import SmallWorld
-from heddle.llm.words import hashed_words
+from heddle.llm.words import hashed_words, parts
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 #: Bits in which the codes of documents at the threshold may differ: 4 standard deviations above the mean of 19 of 128.
 RADIUS = 36
 SHARDINGS, MORE_SHARDINGS = 4, 4
-#: Nodes of a shard; larger ones are cut into parts, and each node asks all parts. Parts whose nodes ask in one task.
+#: Nodes of a shard; keys with more are cut into parts, and each node asks all parts. Parts whose nodes ask in one task.
 SHARD_NODES, PARTS_ASKING = 4096, 16
+#: Nodes that come to one task.
+TASK_NODES = 1 << 14
 #: Neighbours that a node reports at once, nearest first, and the least beam that looks for them.
 NEIGHBOURS, BEAM = 16, 32
-#: Nodes of a shard, up to which it is searched whole; so is a shard that a widened beam would cover by half.
-WHOLE = 128
+#: Links of a graph's node at most.
+ROOM = 32
 #: Nodes of a graph from which a query that isn't one of them starts.
 ENTRIES = 8
 #: Nodes that the audit searches for exactly, and the recall it asks for.
@@ -69,13 +71,14 @@ def _shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _simhash(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of each set's 128-bit code: each bit as most of the set's elements have it."""
-    out = []
+    out, row = [], np.repeat(np.arange(len(sizes)), sizes)
     for k in (21, 22):
-        ones = np.zeros((len(sizes), 64), np.int64)
-        full = np.flatnonzero(sizes)
-        bits = np.unpackbits(_mix(x, k).view(np.uint8).reshape(-1, 8), axis=1)
-        if len(full):
-            ones[full] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[full], axis=0, dtype=np.int32)
+        ones = np.zeros((len(sizes), 64), np.int32)
+        for at in range(0, len(x), 1 << 15):
+            own = row[at : at + (1 << 15)]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            bits = np.unpackbits(_mix(x[at : at + (1 << 15)], k).view(np.uint8).reshape(-1, 8), axis=1)
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         out.append(np.packbits(2 * ones > sizes[:, None], axis=1).view(U).ravel())
     return out[0], out[1]
 
@@ -90,8 +93,7 @@ def _scan(keyed: DataFrame, shardings: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts(batch, 2):
                 x, sizes, a, b = _shingles(part.column(2).to_pylist(), width)
                 s1, s2 = _simhash(x, sizes)
                 mins = np.stack([_reduce(np.minimum, _mix(x, 40 + r), sizes) for r in range(shardings)], axis=1)
@@ -103,20 +105,24 @@ def _scan(keyed: DataFrame, shardings: int, width: int) -> DataFrame:
 
 def _sharded(nodes: DataFrame, first: int, last: int, shard_nodes: int) -> DataFrame:
     """nodes for each sharding from first to last, with shard, part and block, home (stands in the part's graph) and query
-    (asks it). A node stands in one part of one shard of each sharding and asks all parts of that shard, block by block."""
-    count = max(1, -(-nodes.count() // shard_nodes))
+    (asks it). A node stands in one part of the shard of its key, if others have that key, and asks all its parts, block by block."""
     sent = nodes.select("id", "s1", "s2", "size", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("sharding"), "mins")
-    value = F.xxhash64("sharding", F.element_at("mins", F.col("sharding") + 1))
-    sent = materialise(sent.select("id", "s1", "s2", "size", (F.col("sharding") * count + F.pmod(value, F.lit(count))).alias("shard")), "shards")
-    large = materialise(sent.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_nodes).select("shard", F.ceil(F.col("n") / shard_nodes).cast("int").alias("parts")), "large")
-    whole = sent.withColumns({"part": F.lit(0), "block": F.lit(0), "home": F.lit(True), "query": F.lit(True)})
-    if large.isEmpty():
+    sent = sent.select("id", "s1", "s2", "size", F.xxhash64("sharding", F.element_at("mins", F.col("sharding") + 1)).alias("key"))
+    shared = sent.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sent = materialise(sent.join(shared, "key"), "keyed")
+    count = max(1, -(-sent.count() // shard_nodes))
+    large = F.col("n") > shard_nodes
+    sent = sent.withColumn("shard", F.when(large, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(count))))
+    columns = ["id", "s1", "s2", "size", "shard", "part", "block", "home", "query"]
+    whole = sent.where(~large).withColumns({"part": F.lit(0), "block": F.lit(0), "home": F.lit(True), "query": F.lit(True)}).select(columns)
+    if sent.where(large).isEmpty():
         return whole
-    heavy = sent.join(large, "shard").withColumn("own", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int"))
+    heavy = sent.where(large).withColumn("parts", F.ceil(F.col("n") / shard_nodes).cast("int"))
+    heavy = heavy.withColumn("own", F.pmod(F.xxhash64("id", "shard"), F.col("parts")).cast("int"))
     last_block = F.floor((F.col("parts") - 1) / PARTS_ASKING).cast("int")
     stands = heavy.withColumns({"part": F.col("own"), "block": F.explode(F.sequence(F.lit(0), last_block)), "home": F.lit(True), "query": F.lit(False)})
     asks = heavy.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block": F.floor(F.col("own") / PARTS_ASKING).cast("int"), "home": F.lit(False), "query": F.lit(True)})
-    return whole.join(large, "shard", "left_anti").select(whole.columns).union(stands.select(whole.columns)).union(asks.select(whole.columns))
+    return whole.union(stands.select(columns)).union(asks.select(columns))
 
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -178,9 +184,9 @@ def _beams(nodes: tuple[np.ndarray, ...], queries: tuple[np.ndarray, ...], place
     nodes. A query whose beam is full of its own class has one row with y -1."""
     (codes, sizes, group), (q_codes, q_sizes, q_group) = nodes, queries
     n, beam = len(codes), max(BEAM, 2 * most)
-    if n <= WHOLE or 2 * beam >= n:
+    if beam * ROOM >= n:  # a beam follows so many links that comparing all nodes costs no more
         return _whole(nodes, queries, radius, threshold, most)
-    graph = SmallWorld(codes)
+    graph = SmallWorld(codes, room=ROOM)
     num, den = threshold.numerator, threshold.denominator
     found = []
     for start in range(0, len(q_codes), 512):
@@ -227,14 +233,14 @@ def _part(t: pa.Table, radius: int, threshold: Fraction, most: int) -> pa.Table:
     return pa.table({"x": x, "y": y, "distance": d, "overflow": over})
 
 
-def _search(shards: DataFrame, radius: int, threshold: Fraction, most: int) -> DataFrame:
-    """(x, y, distance, overflow) over all shards; shards has asks and group besides."""
+def _search(shards: DataFrame, radius: int, threshold: Fraction, most: int, tasks: int) -> DataFrame:
+    """(x, y, distance, overflow) over all shards, dealt to so many tasks; shards has asks and group besides."""
 
     def search(t: pa.Table) -> pa.Table:
         return _part(t, radius, threshold, most)
 
     # Rows that neither stand in a graph nor ask it any more stay behind.
-    found = shards.where("home or asks").groupBy("shard", "part", "block").applyInArrow(search, "x long, y long, distance int, overflow boolean")
+    found = shards.where("home or asks").repartition(tasks, "shard", "part", "block").groupBy("shard", "part", "block").applyInArrow(search, "x long, y long, distance int, overflow boolean")
     return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"), F.max(F.when(F.col("overflow") & (F.col("x") <= F.col("y")), True)).alias("over_a"), F.max(F.when(F.col("overflow") & (F.col("x") > F.col("y")), True)).alias("over_b"))
 
 
@@ -248,32 +254,27 @@ def _verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, threshold: F
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts(batch, 1):
                 x, sizes, _, _ = _shingles(part.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(x.view(np.int64)))], ["id", "x"])
 
     found = materialise(rows.mapInArrow(sets, "id long, x array<long>").dropDuplicates(["id"]), "sets")
     xa, xb = found.toDF("a", "xa"), found.toDF("b", "xb")
 
-    @F.pandas_udf("long")
-    def common(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)], dtype="int64")
-
-    both = pairs.join(xa, "a").join(xb, "b").withColumn("common", common("xa", "xb")).where(F.col("common") * den >= (F.size("xa") + F.size("xb") - F.col("common")) * num)
-    return both.select("a", "b")
+    both = pairs.join(xa, "a").join(xb, "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    return both.where(F.col("common") * den >= (F.size("xa") + F.size("xb") - F.col("common")) * num).select("a", "b")
 
 
-def _labels(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """nodes with group: the smallest id of those that the edges join a node to."""
-    if edges is None:
-        return nodes.withColumn("group", F.col("id"))
-    return nodes.join(components(edges), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+def _labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels(id, group) with the groups joined that edges(a, b) lead across, each named by its smallest id."""
+    across = edges.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b").where("ga <> gb")
+    joined = components(across.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("group", "root")
+    return materialise(labels.join(joined, "group", "left").select("id", F.coalesce("root", "group").alias("group")), "labels")
 
 
 @tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, width: int = SHINGLE, radius: int = RADIUS, shardings: int = SHARDINGS, shard_nodes: int = SHARD_NODES, neighbours: int = NEIGHBOURS, audited: int = AUDITED) -> DataFrame:
-    """(doc_id, mark, class_id, class_size, kept) for each row; mark is the hash of its text.
+    """(doc_id, mark, class_id, class_size, kept, recall) for each row; mark is the hash of its text, recall the audit's figure.
 
     A class holds the documents that chains of pairs with a shingle similarity of at least threshold join; class_id is
     its smallest doc_id, and that row is kept. Words are lower-cased and end at ASCII white space; documents with equal word
@@ -288,36 +289,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("a", "b").agg(F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "mark")).alias("first"), F.min("size").alias("size"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("mins").alias("mins"))
     nodes = materialise(nodes.select("a", "b", "first.doc", "first.mark", "size", "s1", "s2", "mins").withColumn("id", F.monotonically_increasing_id()), "nodes")
     several = nodes.where(F.col("size") >= 4)  # smaller sets are as similar to equal sets only, which are one node
-    edges, tried, done = None, None, 0
+    labels = materialise(several.select("id", F.col("id").alias("group")), "labels")
+    tried, done, recall = None, 0, 1.0
     while True:
         until = shardings if not done else done + MORE_SHARDINGS
-        shards = _sharded(several, done, until, shard_nodes)
-        edges, tried = _joined(shards, several, keyed, edges, tried, threshold, width, radius, neighbours)
+        shards = materialise(_sharded(several, done, until, shard_nodes), "shards")
+        labels, tried = _joined(shards, several, keyed, labels, tried, threshold, width, radius, neighbours)
         done = until
         if not audited:
             break
-        recall = audit(several, keyed, edges, threshold, width, audited)
+        recall = audit(several, keyed, labels, threshold, width, audited)
         _LOG.info("recall %.4f after %d shardings", recall, done)
         if recall >= LEAST_RECALL:
             break
         if done >= most_shardings:
             raise RuntimeError(f"recall {recall:.4f} after {done} shardings is under {LEAST_RECALL}")
-    named = _labels(nodes.select("a", "b", "id"), edges).select("a", "b", "group")
+    named = nodes.select("a", "b", "id").join(labels, "id", "left").select("a", "b", F.coalesce("group", "id").alias("group"))
     out = rows.select("doc", "mark", "a", "b").join(named, ["a", "b"])
     classes = materialise(out.groupBy("group").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size")), "classes")
     out = out.join(classes, "group")
-    return out.select(F.col("doc").alias("doc_id"), "mark", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), "mark", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"), F.lit(recall).alias("recall"))
 
 
-def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, tried: DataFrame | None, threshold: Fraction, width: int, radius: int, neighbours: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Searches the shards and adds verified edges. Nodes whose list overflows search again with a beam eight times as
-    wide, beyond their own class only, until no list overflows; a beam of two shards' nodes can't."""
+def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, labels: DataFrame, tried: DataFrame | None, threshold: Fraction, width: int, radius: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """Searches the shards and joins the labels that verified edges lead across; with the pairs tried. Nodes whose list overflows search
+    again with a beam eight times as wide, beyond their own class only, until no list overflows; a beam of two shards' nodes can't."""
     asking, beam = None, neighbours
+    tasks = max(1, -(-shards.count() // TASK_NODES), int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while True:
-        labels = materialise(_labels(nodes.select("id"), edges), "labels")
         sent = shards.join(labels, "id")
         sent = sent.withColumn("asks", F.col("query")) if asking is None else sent.join(asking.withColumn("again", F.lit(True)), "id", "left").withColumn("asks", F.col("query") & F.coalesce("again", F.lit(False)))
-        found = materialise(_search(sent, radius, threshold, beam), "found")
+        if asking is not None:  # shards that nobody asks any more stay behind
+            sent = sent.join(materialise(sent.where("asks").select("shard", "part", "block").distinct(), "asked"), ["shard", "part", "block"])
+        found = materialise(_search(sent, radius, threshold, beam, tasks), "found")
         new = found.where("a <> b")
         new = new.select("a", "b", "distance") if tried is None else new.join(tried, ["a", "b"], "left_anti").select("a", "b", "distance")
         if asking is None:
@@ -325,23 +329,18 @@ def _joined(shards: DataFrame, nodes: DataFrame, keyed: DataFrame, edges: DataFr
             both = new.select(F.col("a").alias("n"), "a", "b", "distance").union(new.select("b", "a", "b", "distance"))
             nearest = both.groupBy("n").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
             nearest = materialise(nearest, "nearest")
-            edges = _with(edges, _verified(nearest, nodes, keyed, threshold, width))
-            now = materialise(_labels(nodes.select("id"), edges), "labels")
+            labels = _labels(labels, _verified(nearest, nodes, keyed, threshold, width))
             apart = new.join(nearest, ["a", "b"], "left_anti").select("a", "b")
-            new = apart.join(now.toDF("a", "ga"), "a").join(now.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
-        edges = _with(edges, _verified(new, nodes, keyed, threshold, width))
+            new = apart.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
+        labels = _labels(labels, _verified(new, nodes, keyed, threshold, width))
         tried = materialise(found.select("a", "b") if tried is None else tried.union(found.select("a", "b")).distinct(), "tried")
         asking = materialise(found.where("over_a").select(F.col("a").alias("id")).union(found.where("over_b").select("b")).distinct(), "asking")
         if asking.isEmpty():
-            return edges, tried
+            return labels, tried
         beam *= 8
 
 
-def _with(edges: DataFrame | None, more: DataFrame) -> DataFrame:
-    return materialise(more if edges is None else edges.union(more), "edges")
-
-
-def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold: Fraction, width: int, audited: int) -> float:
+def audit(nodes: DataFrame, keyed: DataFrame, labels: DataFrame, threshold: Fraction, width: int, audited: int) -> float:
     """The share of a sampled node's true neighbours that stand in its class, averaged over the sample.
 
     The neighbours are found by comparing whole shingle sets with all texts, without codes. Nodes with similar numbers of
@@ -360,8 +359,8 @@ def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold
         x, owner, sizes, ids = shared.value
         values, first, number = np.unique(x, return_index=True, return_counts=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                y, n, a, b = _shingles(batch.slice(at, 16).column(0).to_pylist(), width)
+            for part in parts(batch, 0, 1 << 16):
+                y, n, a, b = _shingles(part.column(0).to_pylist(), width)
                 place = np.minimum(np.searchsorted(values, y), len(values) - 1)
                 hit = np.flatnonzero(values[place] == y)
                 of, times = place[hit], number[place[hit]]
@@ -373,7 +372,6 @@ def audit(nodes: DataFrame, keyed: DataFrame, edges: DataFrame | None, threshold
 
     pairs = keyed.select("text").mapInArrow(run, "a long, b long, asked long").distinct()
     true = materialise(pairs.join(nodes.select("a", "b", "id"), ["a", "b"]).where("id <> asked").select("asked", "id"), "true")
-    labels = materialise(_labels(nodes.select("id"), edges), "labels")
     met = true.join(labels.toDF("asked", "ga"), "asked").join(labels.toDF("id", "gb"), "id")
     each = met.groupBy("asked").agg(F.count("*").alias("n"), F.avg((F.col("ga") == F.col("gb")).cast("double")).alias("share"))
     recall = each.groupBy(F.floor(F.log2("n"))).agg(F.avg("share").alias("share")).agg(F.avg("share")).first()[0]

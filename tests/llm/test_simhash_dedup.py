@@ -123,7 +123,7 @@ def test_parts_ask_in_blocks_and_find_what_one_graph_finds(spark):
     nodes = spark.createDataFrame([(i, int(codes[i, 0]), int(codes[i, 1]), 50, [7]) for i in range(n)], "id long, s1 long, s2 long, size long, mins array<long>")
     shards = sd._sharded(nodes, 0, 1, 5).withColumn("asks", F.col("query")).withColumn("group", F.col("id"))
     assert shards.select("part").distinct().count() == n // 5 and shards.select("block").distinct().count() == -(-(n // 5) // sd.PARTS_ASKING)
-    found = {(f.a, f.b) for f in sd._search(shards, 36, sd.THRESHOLD, 16).collect()}
+    found = {(f.a, f.b) for f in sd._search(shards, 36, sd.THRESHOLD, 16, 4).collect()}
     assert {(i, i + 1) for i in range(0, n, 2)} <= found
 
 
@@ -153,5 +153,7 @@ def test_audit_is_not_outweighed_by_a_large_class(spark):
     nodes = sd._scan(keyed, 1, 5).withColumn("id", F.col("doc"))
     group = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
     whole = group.union(spark.createDataFrame([(100 + 2 * i, 101 + 2 * i) for i in range(10)], "a long, b long"))
+    apart = nodes.select("id", F.col("id").alias("group"))
+    group, whole = sd._labels(apart, group), sd._labels(apart, whole)
     assert sd.audit(nodes, keyed, group, sd.THRESHOLD, 5, 256) == 0.5
     assert sd.audit(nodes, keyed, whole, sd.THRESHOLD, 5, 256) == 1.0
