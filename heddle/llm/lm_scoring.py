@@ -1,10 +1,12 @@
 """Language-model scores: prediction by partial matching over bytes, with a smoothed unigram word model beside it.
 
-The trie of byte contexts is held as one written table of counted (order + 1)-grams for each order. They are counted over
-all training texts by a shuffle; lower orders are marginals of the highest. No task holds the whole model: each distinct
-gram of the texts is scored by joins with the tables, and a block of texts gets the scores of its own grams. At each byte the model starts at its longest
-known context; a byte that the context has not seen escapes to the next shorter one (escape method C), where the symbols
-already ruled out are excluded from the counts. With Trie the same model runs symbol by symbol, pretrained or adaptive.
+The trie of byte contexts is the set of counted (order + 1)-grams of all training texts; lower orders are their marginals. No
+task holds the whole model, and nothing is left out of it. Texts are dealt to blocks. A block's distinct grams travel as packed, sorted arrays, cut
+into hash ranges; each range adds up the counts of all blocks. Grams whose contexts end in the same two bytes come
+together in one part, which has all that their scores need beside the 65,536 byte pairs' counts; the scores go back to
+the ranges and from there to the blocks, whose texts add them up. Words take the same way by their hashes. At each byte the model
+starts at its longest known context; a byte that the context has not seen escapes to the next shorter one (escape method C), where the
+symbols already ruled out are excluded from the counts. With Trie the same model runs symbol by symbol, pretrained or adaptive.
 
 Texts are scored with A-Z in lower case and one end symbol, so the probabilities of all texts sum to one.
 """
@@ -12,28 +14,24 @@ Texts are scored with A-Z in lower case and one end symbol, so the probabilities
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, tidy
+from heddle.llm.common import materialise, small_batches, tidy
+from heddle.llm.words import hashed_words
 
 ORDER = 5
-#: Bytes of text that are scored together, from a table of their own distinct grams.
+#: Bytes of text in a block, whose distinct grams are counted and scored together.
 BLOCK_BYTES = 32 << 20
-#: Most frequent words whose counts go to every task; the others are joined.
-HEAD_WORDS = 100_000
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 SYMBOLS = 255  # all bytes but START
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
-_FLUSH = 1_500_000
+_FLUSH = 2_000_000
 
 
 class Trie:
@@ -90,40 +88,17 @@ def gram_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Table:
-    """Integers to their positions in a sorted table, by open addressing."""
+    """Sorted integers, found by their positions."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.at = np.zeros(size, U), np.full(size, -1, np.int32)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = self.at[slot] < 0
-            first = np.zeros(len(left), bool)
-            first[np.unique(slot[free], return_index=True)[1]] = True
-            put = np.flatnonzero(free)[np.flatnonzero(first[: free.sum()])]
-            self.at[slot[put]], self.keys[slot[put]] = left[put], keys[left[put]]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+        self.keys = keys
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Positions, -1 where a key is absent."""
-        slot = self._slot(keys)
-        out = self.at[slot]
-        wrong = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
-        slot = slot[wrong]
-        while len(wrong):
-            slot = (slot + 1) & (len(self.at) - 1)
-            got = self.at[slot]
-            settled = (got < 0) | (self.keys[slot] == keys[wrong])
-            out[wrong[settled]] = got[settled]
-            wrong, slot = wrong[~settled], slot[~settled]
-        return out
+        """Positions, -1 where a key is absent; fastest for sorted keys."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class Ppm:
@@ -180,154 +155,262 @@ def blocks(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]
     for t in texts:
         part.append(t)
         n += len(t)
-        if n >= size:
+        if n >= size or len(part) == 1 << 15:
             yield part
             part, n = [], 0
     if part:
         yield part
 
 
-def in_blocks(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """rows(doc_id, held_out, text) with row and block, written: numbers of the row and of the block that it is scored in."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = block = TaskContext.get().partitionId() << 40
-        n = 0
-        for batch in batches:
-            numbers = []
-            for t in batch.column(2):
-                if n >= size:
-                    block, n = block + 1, 0
-                numbers.append(block)
-                n += len(t.as_buffer())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(number, number + len(numbers))), pa.array(numbers, pa.int64())], ["doc_id", "held_out", "text", "row", "block"])
-            number += len(numbers)
 
-    return materialise(rows.mapInArrow(run, "doc_id long, held_out boolean, text binary, row long, block long"), "blocks")
+def _merged(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _summed(), by one sort of keys of so many bits with their counts in the bits below."""
+    if bits > 48:
+        return _summed([(keys, counts)])
+    most = (1 << 64 - bits) - 1
+    if len(counts) and counts.max() > most:  # a count that doesn't fit is cut into several
+        times = np.maximum(1, -(-counts // most))
+        keys, left = np.repeat(keys, times), np.repeat(counts, times)
+        nth = np.arange(len(keys)) - np.repeat(np.cumsum(times) - times, times)
+        counts = np.minimum(left - nth * most, most)
+    both = np.sort(keys << U(64 - bits) | counts.astype(U))
+    keys = both >> U(64 - bits)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat((both & U(most)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
 
 
-def block_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, gram, n) over all rows of texts(block, held_out, text): each block's grams and how often its training texts
-    have them. A gram of a block may have several rows, whose n add up."""
+#: Odd multipliers for mixing, and shifts of half the bits: a bijection of grams that spreads them evenly.
+_M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, block = np.empty(0, U), np.empty(0, np.int64), None
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block or 0)), pa.array(keys.view(np.int64)), pa.array(counts)], ["block", "gram", "n"])
+def _mixed(keys: np.ndarray, bits: int, back: bool = False) -> np.ndarray:
+    mask = U((1 << bits) - 1)
+    first, second = (_M1, _M2) if not back else (pow(_M2, -1, 1 << 64), pow(_M1, -1, 1 << 64))
+    x = keys * U(first) & mask
+    x ^= x >> U(bits // 2)
+    return x * U(second) & mask
 
-        for batch in batches:
-            numbers, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            at = 0
-            for part in blocks(v.as_py() for v in batch.column(2)):
-                own, begins = gram_keys(part, order)
-                lengths = np.diff(np.append(begins, len(own)))
-                number, train = np.repeat(numbers[at : at + len(part)], lengths), np.repeat(~held[at : at + len(part)], lengths)
-                at += len(part)
-                for b in np.unique(number):
-                    if b != block or len(keys) > _FLUSH:
-                        keys, counts = _summed([(keys, counts), *pending])
-                        yield rows()
-                        keys, counts, block, pending = np.empty(0, U), np.empty(0, np.int64), b, []
-                    mine = number == b
-                    grams, inverse = np.unique(own[mine], return_inverse=True)
-                    pending.append((grams, np.bincount(inverse, weights=train[mine], minlength=len(grams)).astype(np.int64)))
-                    if sum(len(p[0]) for p in pending) > _FLUSH:
-                        keys, counts = _summed([(keys, counts), *pending])
-                        pending = []
-        keys, counts = _summed([(keys, counts), *pending])
-        yield rows()
-
-    return texts.select("block", "held_out", "text").mapInArrow(run, "block long, gram long, n long")
 
+_CODEC = pa.Codec("zstd", compression_level=1)
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, compressed byte plane by byte plane."""
+    return _CODEC.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
 
-def train(grams: DataFrame, order: int = ORDER, max_nodes: int | None = None) -> list[DataFrame]:
-    """The model's levels (gram, n), written, from the m = order + 1 down to 1, of grams(gram, n).
 
-    Nothing is left out, unless max_nodes asks for a smaller model: then the nodes below the least power of two that fits it.
-    """
-    levels = [materialise(grams.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "grams", free=True)]
-    for m in range(order, 0, -1):
-        levels.append(materialise(levels[-1].groupBy(_last(F.col("gram"), m).alias("gram")).agg(F.sum("n").alias("n")), "grams", free=True))
-    if max_nodes is None:
-        return levels
-    nodes = reduce(DataFrame.union, levels)
-    sizes = {int(r.b): r["count"] for r in nodes.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()}  # at most 64 rows
-    least = 0
-    while sum(n for b, n in sizes.items() if b >= least) > max_nodes:
-        least += 1
-    return [t.where(F.col("n") >= 1 << least) for t in levels]
-
-
-def _last(gram: Column, m: int) -> Column:
-    return gram if m == 8 else gram.bitwiseAND((1 << 8 * m) - 1)
-
-
-def score_grams(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(gram, log): the log10 probability of the last symbol of each of grams(gram), which are distinct, in the context before it."""
-    out = None
-    left = grams.select("gram", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("mass"), F.lit(0).cast("long").alias("kinds"))
-    for i, level in enumerate(levels):
-        m = len(levels) - i
-        context = F.shiftrightunsigned("gram", 8)
-        weighed = level.withColumn("lower", F.lit(0).cast("long"))
-        if m > 1:  # what the context's symbols weigh one order below
-            weighed = level.withColumn("suffix", _last(F.col("gram"), m - 1)).join(levels[i + 1].toDF("suffix", "lower"), "suffix")
-        contexts = weighed.groupBy(context.alias("context")).agg(F.sum("n").alias("of_total"), F.count("*").alias("of_kinds"), F.sum("lower").alias("of_mass"))
-        known = left.withColumn("key", _last(F.col("gram"), m)).join(level.toDF("key", "n"), "key", "left").withColumn("context", F.shiftrightunsigned("key", 8)).join(contexts, "context", "left")
-        known = known.withColumns({"total": F.col("of_total") - F.col("mass"), "kind": F.col("of_kinds") - F.col("kinds")})
-        below = F.log10(F.greatest(F.col("total") + F.col("kind"), F.lit(1)))
-        known = materialise(known.select(
-            "gram", (F.col("n").isNotNull()).alias("hit"),
-            (F.col("log") + F.when(F.col("n").isNotNull(), F.log10("n") - below).when(F.col("kind") > 0, F.log10("kind") - below).otherwise(0.0)).alias("log"),
-            F.coalesce("of_mass", F.lit(0)).alias("mass"), F.coalesce("of_kinds", F.lit(0)).alias("kinds"),
-        ), "scored-grams", free=True)
-        hits = known.where("hit").select("gram", "log")
-        out = hits if out is None else out.union(hits)
-        left = known.where("not hit").drop("hit")
-    return out.union(left.select("gram", (F.col("log") - F.log10(F.lit(SYMBOLS) - F.col("kinds"))).alias("log")))
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.empty(0, kind)
+    return np.ascontiguousarray(np.frombuffer(_CODEC.decompress(data, n * 8, asbytes=True), np.uint8).reshape(8, n).T).view(kind).ravel()
 
 
-@tidy
-def gram_logs(grams: DataFrame, order: int, max_nodes: int | None) -> DataFrame:
-    """(gram, log) of all of grams(block, gram, n), by the model that they are counted to."""
-    return score_grams(grams.select("gram").distinct(), train(grams, order, max_nodes))
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U(0)))
 
 
-@tidy
-def block_scores(rows: DataFrame, order: int, max_nodes: int | None) -> DataFrame:
-    """(block, gram, log): the scores that each block of rows needs; some may stand in it twice."""
-    grams = materialise(block_grams(rows, order), "block-grams")
-    return grams.select("block", "gram").join(gram_logs(grams, order, max_nodes), "gram")
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n, U), dtype=U)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, c) over all rows of texts(text binary)."""
+def _cuts(keys: np.ndarray, bits: int, ranges: int) -> list[int]:
+    """Where the ranges of sorted keys of so many bits begin, and where the last ends."""
+    edges = np.arange(1, ranges, dtype=U) << U(bits - (ranges.bit_length() - 1))
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "c"])
+def _low(texts: Iterable) -> Iterator[bytes]:
+    return (v.as_py().translate(LOWER) for v in texts)
 
-        for batch in batches:
-            for v in batch.column(0):
-                words.update(v.as_py().translate(LOWER).split())
-                if len(words) > 400_000:
-                    yield rows()
-                    words = Counter()
-        yield rows()
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def block_counts(rows: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(range, block, ng, grams, gram_counts, nw, words, word_counts): the distinct mixed grams and word hashes of each block of
+    rows(block, held_out, text) in each range, sorted, and how often its training texts have them."""
+    bits = 8 * (order + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts, pending, waiting = np.empty(0, U), np.empty(0, np.int64), [], 0
+        words: list[tuple[np.ndarray, np.ndarray]] = []
+        for held in (False, True):
+            which = pa.array(t.column("held_out").to_numpy(zero_copy_only=False) == held)
+            for part in blocks(_low(t.column("text").filter(which))):
+                own = np.sort(_mixed(gram_keys(part, order)[0], bits))
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                pending.append((own[first], np.diff(np.append(first, len(own))) * (not held)))
+                waiting += len(first)
+                if waiting > _FLUSH:
+                    keys, counts = _merged(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]), bits)
+                    pending, waiting = [], 0
+                h, n = np.unique(hashed_words(part)[0], return_counts=True)
+                words.append((h, n * (not held)))
+        keys, counts = _merged(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]), bits)
+        w, wn = _summed([(np.empty(0, U), np.empty(0, np.int64)), *words])
+        g, x = _cuts(keys, bits, ranges), _cuts(w, 64, ranges)
+        cut = lambda f, c, at: pa.array([f(c[i:j]) for i, j in zip(at, at[1:])], pa.binary())
+        return pa.table({
+            "range": pa.array(range(ranges), pa.int32()), "block": pa.array([t.column("block")[0].as_py()] * ranges, pa.int64()),
+            "ng": pa.array(np.diff(g)), "grams": cut(_pack_sorted, keys, g), "gram_counts": cut(_pack, counts, g),
+            "nw": pa.array(np.diff(x)), "words": cut(_pack_sorted, w, x), "word_counts": cut(_pack, wn, x),
+        })
+
+    return rows.select("block", "held_out", "text").groupBy("block").applyInArrow(run, "range int, block long, ng long, grams binary, gram_counts binary, nw long, words binary, word_counts binary")
+
+
+def _all_grams(t: pa.Table, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A range's grams in each row of block_counts(), all of them, sorted, and their counts."""
+    each = [_unpack_sorted(d.as_py(), n.as_py()) for d, n in zip(t.column("grams"), t.column("ng"), strict=True)]
+    counts = [_unpack(d.as_py(), len(k), np.int64) for d, k in zip(t.column("gram_counts"), each, strict=True)]
+    keys, n = _merged(np.concatenate([np.empty(0, U), *each]), np.concatenate([np.empty(0, np.int64), *counts]), bits)
+    return each, keys, n
+
+
+def _parts_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram, by the last two bytes of its context."""
+    return ((((grams >> U(8)) & U(0xFFFF)) * U(_M1)) >> U(65 - parts.bit_length())).astype(np.int64)
+
+
+PAIRS, WORDS = -1, -2  # rows of range_counts() that aren't a part's
+
+
+def range_counts(counted: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, range, n, grams, counts): of each range the grams of each part, with their counts over all training texts; besides, with part PAIRS
+    the last two bytes' counts, and with WORDS, in n and counts, how many different words there are and how often in all."""
+    bits = 8 * (order + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        _, keys, n = _all_grams(t, bits)
+        grams = _mixed(keys, bits, back=True)
+        part = _parts_of(grams, parts)
+        rows = []
+        by = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[by], np.arange(parts + 1))
+        for p in range(parts):
+            own = by[at[p] : at[p + 1]]
+            if len(own):
+                rows.append((p, len(own), _pack_sorted(keys[own]), _pack(n[own])))
+        pairs = np.bincount((grams & U(0xFFFF)).astype(np.int64), weights=n, minlength=1 << 16).astype(np.int64)
+        rows.append((PAIRS, 1 << 16, b"", _pack(pairs)))
+        each = [(_unpack_sorted(d.as_py(), m.as_py()), _unpack(c.as_py(), m.as_py(), np.int64)) for d, c, m in zip(t.column("words"), t.column("word_counts"), t.column("nw"), strict=True)]
+        _, times = _summed([(np.empty(0, U), np.empty(0, np.int64)), *each])
+        rows.append((WORDS, int((times > 0).sum()), b"", _pack(np.array([times.sum()]))))
+        p, m, k, c = zip(*rows, strict=True)
+        return pa.table({"part": pa.array(p, pa.int32()), "range": pa.array([t.column("range")[0].as_py()] * len(p), pa.int32()), "n": pa.array(m, pa.int64()), "grams": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+
+    return counted.groupBy("range").applyInArrow(run, "part int, range int, n long, grams binary, counts binary")
+
+
+def _pair_counts(ranged: DataFrame) -> np.ndarray:
+    """The counts of the last two bytes over all ranges: added up in 16 tasks, whose 65,536 numbers each come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for c in batch.column(0):
+                total += _unpack(c.as_py(), 1 << 16, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary())], ["counts"])
+
+    sums = ranged.where(F.col("part") == PAIRS).select("counts").coalesce(16).mapInArrow(run, "counts binary").collect()
+    return sum((_unpack(bytes(r.counts), 1 << 16, np.int64) for r in sums), np.zeros(1 << 16, np.int64))
+
+
+def part_scores(ranged: DataFrame, pairs: np.ndarray, order: int) -> DataFrame:
+    """(range, part, logs): the log10 probability of each gram of a part's ranges, in the order of range_counts()."""
+    bits = 8 * (order + 1)
+    shared = ranged.sparkSession.sparkContext.broadcast(pairs)  # 65,536 numbers
+
+    def run(t: pa.Table) -> pa.Table:
+        sizes = t.column("n").to_numpy()
+        grams = _mixed(np.concatenate([_unpack_sorted(k.as_py(), n) for k, n in zip(t.column("grams"), sizes, strict=True)]), bits, back=True)
+        counts = np.concatenate([_unpack(c.as_py(), n, np.int64) for c, n in zip(t.column("counts"), sizes, strict=True)])
+        by = np.argsort(grams)
+        grams, counts = grams[by], counts[by]
+        known = counts > 0
+        levels = [(grams[known], counts[known])]
+        for m in range(order, 0, -1):
+            if m > 2:
+                levels.append(_merged(levels[-1][0] & U((1 << 8 * m) - 1), levels[-1][1], 8 * m))
+            else:  # contexts that are shorter than a part's are shared by parts
+                n = shared.value if m == 2 else shared.value.reshape(256, 256).sum(axis=0)
+                levels.append((np.flatnonzero(n).astype(U), n[n > 0]))
+        model = Ppm(levels)
+        logs = np.empty(len(grams))
+        for i in range(0, len(grams), 1 << 19):
+            logs[by[i : i + (1 << 19)]] = model.log10(grams[i : i + (1 << 19)])
+        ends = np.cumsum(sizes)
+        return pa.table({"range": t.column("range"), "part": t.column("part"), "logs": pa.array([_pack(logs[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+    return ranged.where("part >= 0").groupBy("part").applyInArrow(run, "range int, part int, logs binary")
+
+
+def block_logs(counted: DataFrame, scored: DataFrame, order: int, parts: int) -> DataFrame:
+    """(block, range, ng, grams, logs, nw, words, times): the scores of each block's grams, and its words' counts over all training texts."""
+    bits = 8 * (order + 1)
+
+    def run(t: pa.Table, scores: pa.Table) -> pa.Table:
+        each, keys, _ = _all_grams(t, bits)
+        part = _parts_of(_mixed(keys, bits, back=True), parts)
+        by = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[by], np.arange(parts + 1))
+        logs = np.empty(len(keys))
+        for p, packed in zip(scores.column("part").to_pylist(), scores.column("logs"), strict=True):
+            own = by[at[p] : at[p + 1]]
+            logs[own] = _unpack(packed.as_py(), len(own), np.float64)
+        words = [_unpack_sorted(d.as_py(), m.as_py()) for d, m in zip(t.column("words"), t.column("nw"), strict=True)]
+        times = [_unpack(c.as_py(), len(w), np.int64) for c, w in zip(t.column("word_counts"), words, strict=True)]
+        all_words, all_times = _summed([(np.empty(0, U), np.empty(0, np.int64)), *zip(words, times, strict=True)])
+        return pa.table({
+            "block": t.column("block"), "range": t.column("range"), "ng": t.column("ng"), "grams": t.column("grams"),
+            "logs": pa.array([_pack(logs[np.searchsorted(keys, k)]) for k in each], pa.binary()), "nw": t.column("nw"), "words": t.column("words"),
+            "times": pa.array([_pack(all_times[np.searchsorted(all_words, w)]) for w in words], pa.binary()),
+        })
+
+    schema = "block long, range int, ng long, grams binary, logs binary, nw long, words binary, times binary"
+    return counted.groupBy("range").cogroup(scored.groupBy("range")).applyInArrow(run, schema)
+
+
+def text_scores(rows: DataFrame, logged: DataFrame, order: int, below: float, ends: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of rows(block, doc_id, held_out, text)."""
+    bits = 8 * (order + 1)
+
+    def run(t: pa.Table, scores: pa.Table) -> pa.Table:
+        scores = scores.sort_by("range")
+        joined = lambda name, size, f: np.concatenate([f(d.as_py(), n.as_py()) for d, n in zip(scores.column(name), scores.column(size), strict=True)])
+        keys, logs = joined("grams", "ng", _unpack_sorted), joined("logs", "ng", lambda d, n: _unpack(d, n, np.float64))
+        words, times = joined("words", "nw", _unpack_sorted), joined("times", "nw", lambda d, n: _unpack(d, n, np.int64))
+        word_logs = np.log10(times + 0.5)
+        found = []
+        for part in blocks(_low(t.column("text"))):
+            own, begins = gram_keys(part, order)
+            number = np.repeat(np.arange(len(part)), np.diff(np.append(begins, len(own))))
+            own = _mixed(own, bits)
+            if bits <= 48:  # blocks() gives fewer texts than the other 16 bits hold
+                both = np.sort(own << U(16) | number.astype(U))
+                own, number = both >> U(16), (both & U(0xFFFF)).astype(np.int64)
+            else:
+                by = np.argsort(own, kind="stable")
+                own, number = own[by], number[by]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            each = np.repeat(logs[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
+            score = np.bincount(number, weights=each, minlength=len(part))
+            h, line, text_of, _ = hashed_words(part)
+            of = text_of[line]
+            at = np.searchsorted(words, h)
+            n = np.bincount(of, minlength=len(part))
+            known = np.bincount(of, weights=times[at] > 0, minlength=len(part)).astype(np.int64) if len(h) else np.zeros(len(part), np.int64)
+            base = np.bincount(of, weights=word_logs[at], minlength=len(part)) if len(h) else np.zeros(len(part))
+            found.append((n + 1, known + (ends > 0), base + math.log10(ends + 0.5) - (n + 1) * below, score))
+        a, b, c, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(a.astype(np.int64)), "n_known": pa.array(b.astype(np.int64)), "base_score": pa.array(c), "score": pa.array(d)})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return rows.groupBy("block").cogroup(logged.groupBy("block")).applyInArrow(run, schema)
 
 
 def fold(doc_id: Column, k: int) -> Column:
@@ -335,55 +418,26 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int | None = None, head_words: int = HEAD_WORDS, folds: int = 5, held_fold: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+@tidy
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 5, held_fold: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Both models learn from all rows outside the held-out fold. base_score is the add-half unigram log10 probability of
-    the words and one end; score the byte model's of the whole text. Null texts are empty; repeated rows count as often
-    as they occur; an empty training fold leaves uniform models; an empty table gives no rows.
+    the words and one end; score the byte model's of the whole text. Words are told apart by 64-bit hashes. Null texts are empty; repeated
+    rows count as often as they occur; an empty training fold leaves uniform models; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    rows = in_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), text), block_bytes)
-    training = rows.where("not held_out").select("text")
-    scores = block_scores(rows, order, max_nodes)
-    vocabulary = materialise(count_words(training), "vocabulary", free=True)
-    sums = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    ends = training.count()
-    n, v = sums.n + ends, sums.v + (ends > 0)
-    below = math.log10(n + 0.5 * (v + 1))
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # head_words rows at most
-    words, times = top.column("word").to_pylist(), top.column("c").to_pylist()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(dict(zip(words, times, strict=True)))
-    least = (times[-1], words[-1]) if len(words) == head_words else None
-
-    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
-        logs = {w: math.log10(c + 0.5) for w, c in shared.value.items()}
-        table, score_of = _Table(scores.column("gram").to_numpy().view(U)), scores.column("log").to_numpy()
-        found = []
-        for part in blocks(x.as_py() for x in texts.column("text")):
-            keys, begins = gram_keys(part, order)
-            byte_scores = np.add.reduceat(score_of[table.find(keys)], begins)
-            for t, score in zip(part, byte_scores.tolist(), strict=True):
-                words = t.translate(LOWER).split()
-                got = list(map(logs.get, words))
-                rare = Counter(w for w, g in zip(words, got, strict=True) if g is None) if None in got else {}
-                inside = [g for g in got if g is not None]
-                base = math.fsum(inside) + math.log10(ends + 0.5) + sum(rare.values()) * math.log10(0.5) - (len(words) + 1) * below
-                found.append((len(words) + 1, len(inside) + (ends > 0), base, score, list(rare), list(rare.values())))
-        a, b, c, s, d, e = zip(*found, strict=True)
-        return pa.table(
-            [texts.column("doc_id"), texts.column("held_out"), texts.column("row"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(s, pa.float64()), pa.array(d, pa.list_(pa.binary())), pa.array(e, pa.list_(pa.int64()))],
-            ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare", "times"],
-        )
-
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-    scored = materialise(rows.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(run, schema), "scored", free=True)
-    out = scored.drop("rare", "times").withColumn("train_tokens", F.lit(n).cast("long"))
-    if least is not None:  # words beyond the head that the training texts have
-        tail = vocabulary.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
-        seen = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-        gain = seen.join(tail, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("gain"))
-        out = out.join(gain, "row", "left")
-        out = out.withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "base": F.col("base") + F.coalesce("gain", F.lit(0.0))})
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), "score")
+    assert 1 <= order <= 6
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), text.alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
+    count, ends = max(1, -(-(total.bytes or 0) // block_bytes)), total.ends
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
+    ranges = 1 << max(6, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    counted = materialise(block_counts(rows, order, ranges), "block-counts", free=True)
+    ranged = materialise(range_counts(counted, order, ranges), "range-counts", free=True)
+    sums = ranged.where(F.col("part") == WORDS).select("n", "counts").collect()  # a row for each range
+    n, v = sum(int(_unpack(bytes(r.counts), 1, np.int64)[0]) for r in sums) + ends, sum(r.n for r in sums) + (ends > 0)
+    scored = part_scores(ranged, _pair_counts(ranged), order)
+    out = text_scores(rows, block_logs(counted, scored, order, ranges), order, math.log10(n + 0.5 * (v + 1)), ends)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
