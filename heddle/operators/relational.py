@@ -25,10 +25,10 @@ def is_first(k: int, partition: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) <= k
 
 
-def is_last(k: int, partition: list[str], *order: Column) -> Column:
-    """The last k rows by order; order as in is_first, given ascending or descending."""
-    n = Window.partitionBy(*partition)
-    return F.row_number().over(n.orderBy(*order)) > F.count("*").over(n) - k
+def is_last(k: int, partition: list[str], *order: str) -> Column:
+    """The last k rows by order, column names with a minus before those that descend: the first rows of the reverse order, so that
+    the bound becomes a limit for each group before the shuffle."""
+    return is_first(k, partition, *(F.col(o[1:]).asc_nulls_first() if o.startswith("-") else F.col(o).desc_nulls_last() for o in order))
 
 
 def count_distinct_over(x: Column, partition: list[str]) -> Column:
@@ -37,15 +37,26 @@ def count_distinct_over(x: Column, partition: list[str]) -> Column:
     return F.max(F.when(x.isNotNull(), F.dense_rank().over(w.orderBy(x.asc_nulls_last())))).over(w)
 
 
-def array_agg(x: Column, *order: Column, limit: int | None = None, keep_nulls: bool = True) -> Column:
-    """ARRAY_AGG with ORDER BY (ascending sort keys) and LIMIT; nulls are kept, and empty input gives NULL."""
+def array_agg(x: Column, *order: Column, limit: int | None = None, keep_nulls: bool = True, descending: bool = False, distinct: bool = False) -> Column:
+    """ARRAY_AGG with ORDER BY (sort keys of one direction), DISTINCT and LIMIT; nulls are kept, and empty input gives NULL.
+
+    A limit cuts the array only once the group is gathered: top_array_agg() gathers no more than the limit.
+    """
     row = F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)), x.alias("v"))
-    rows = F.array_sort(F.collect_list(row if keep_nulls else F.when(x.isNotNull(), row)))
+    collect = F.collect_set if distinct else F.collect_list
+    rows = F.sort_array(collect(row if keep_nulls else F.when(x.isNotNull(), row)), not descending)
     values = F.transform(rows, lambda r: r["v"])
     values = F.slice(values, 1, limit) if limit is not None else values
     return F.when(F.size(rows) > 0, values)
 
 
+def top_array_agg(df: DataFrame, keys: list[str], x: Column, order: list[Column], limit: int, name: str) -> DataFrame:
+    """keys with ARRAY_AGG(x ORDER BY order LIMIT limit), order with any directions: row_number() bounds each group before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = df.select(*keys, x.alias("__x"), F.row_number().over(w).alias("__r")).where(F.col("__r") <= limit)
+    return top.groupBy(*keys).agg(array_agg(F.col("__x"), F.col("__r")).alias(name))
+
+
 def having_extremum(df: DataFrame, keys: list[str], by: str, largest: bool = True) -> DataFrame:
     """The rows that an aggregate with HAVING MAX (or MIN) by reads: those with their group's extreme value."""
     w = Window.partitionBy(*keys)
@@ -84,16 +95,16 @@ def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame],
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """MERGE: source rows replace target rows with equal keys and are inserted otherwise; null keys never match.
 
-    A target row that several source rows match is an error, which shows when the result is computed.
+    A target row that several source rows match is an error, which shows when the result is computed; several source rows with
+    a key that the target lacks are all inserted.
     """
-    w = Window.partitionBy(*keys)
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
-    n = F.when(has_key, F.count("*").over(w)).otherwise(1)
-    checked = source.withColumn("__n", n)
-    guard = F.when(F.col("__n") > 1, F.raise_error(F.lit("MERGE: a row is matched by more than one source row")).cast("boolean")).otherwise(F.lit(True))
-    checked = checked.where(guard).drop("__n")
+    several = source.where(has_key).groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    twice = target.select(*keys).distinct().join(several, keys, "left_semi").withColumn("__twice", F.lit(True))
+    guard = F.when(F.col("__twice"), F.raise_error(F.lit("MERGE: a row is matched by more than one source row")).cast("boolean")).otherwise(F.lit(True))
+    checked = source.join(twice, keys, "left").where(guard)
     return target.join(source.select(keys).distinct(), keys, "left_anti").select(target.columns).unionByName(checked.select(target.columns))
 
 

@@ -94,12 +94,14 @@ def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, late: str)
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n")
 
 
-def upsert_sink(path: Callable[[int], str], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: version n of the table is version n - 1 with the batch merged; a batch that runs again writes the same."""
+def upsert_sink(path: Callable[[int], str], keys: list[str], *order: Column) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: version n of the table is version n - 1 with the batch merged. With order the first row of each key in a batch
+    counts, so order should leave no ties; without it several rows that match one are an error. Either way a batch that runs again
+    writes the same."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.dropDuplicates(keys)
+        last = qualify(batch, is_first(1, keys, *order)) if order else batch
         merged = last if number == 0 else upsert(spark.read.parquet(path(number - 1)), last, keys)
         merged.write.mode("overwrite").parquet(path(number))
 
