@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- numbers ---------------------------------------------------------------------------------------------------------
+# numbers
 
 
 def to_int64(x: Column) -> Column:
@@ -19,7 +19,9 @@ def to_int64(x: Column) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    return F.try_divide(a - F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("long")).otherwise(a % b), b).cast("long")
+    """Whole quotient of 64-bit integers, cut off towards zero; a zero divisor is an error."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.try_divide((a - a % b).cast("decimal(20,0)"), b.cast("decimal(20,0)")).cast("long")
 
 
 def ieee_divide(a: Column, b: Column) -> Column:
@@ -43,12 +45,71 @@ def greatest(*xs: Column) -> Column:
 
 
 def least(*xs: Column) -> Column:
+    """NULL if any argument is, NaN if any is NaN: for Spark NaN is the largest number."""
+    low, high = F.least(*xs), F.greatest(*xs)
+    return F.when(reduce(lambda a, b: a | b, (x.isNull() for x in xs)), None).when(F.isnan(high.cast("double")), high).otherwise(low)
+
+
+def least_text(*xs: Column) -> Column:
+    """LEAST of values that aren't numbers."""
     return F.when(reduce(lambda a, b: a | b, (x.isNull() for x in xs)), None).otherwise(F.least(*xs))
 
 
 def trunc(x: Column, digits: int = 0) -> Column:
-    scale = F.lit(10.0**digits)
-    return F.when(x >= 0, F.floor(x * scale)).otherwise(F.ceil(x * scale)).cast("double") / scale
+    """Towards zero; numbers that are too large to have such digits, infinities and NaN stay."""
+    x, scale = x.cast("double"), F.lit(10.0**digits)
+    cut = F.when(x >= 0, F.floor(x * scale)).otherwise(F.ceil(x * scale)).cast("double") / scale
+    return F.when((F.abs(x * scale) >= 2.0**53) | F.isnan(x), x).otherwise(cut)
+
+
+def _domain(name: str, good: Column, value: Column) -> Column:
+    """value where good, NULL for NULL, else GoogleSQL's error."""
+    return F.when(good, value).when(~good, F.raise_error(F.lit(f"argument of {name} is outside its domain")).cast("double"))
+
+
+def acos(x: Column) -> Column:
+    return _domain("ACOS", (F.abs(x) <= 1) | F.isnan(x), F.acos(x))
+
+
+def asin(x: Column) -> Column:
+    return _domain("ASIN", (F.abs(x) <= 1) | F.isnan(x), F.asin(x))
+
+
+def acosh(x: Column) -> Column:
+    return _domain("ACOSH", x >= 1, F.acosh(x))
+
+
+def asinh(x: Column) -> Column:
+    return F.asinh(x)
+
+
+def atanh(x: Column) -> Column:
+    return _domain("ATANH", (F.abs(x) < 1) | F.isnan(x), F.atanh(x))
+
+
+def ln(x: Column) -> Column:
+    return _domain("LN", x > 0, F.ln(x))
+
+
+def sqrt(x: Column) -> Column:
+    return _domain("SQRT", (x >= 0) | F.isnan(x), F.sqrt(x))
+
+
+def corr(x: Column, y: Column) -> Column:
+    """The aggregate CORR: NaN, not an error, where one side is constant; NULL without two pairs."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(F.count(a) < 2, None).when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
+
+
+def is_inf(x: Column) -> Column:
+    return F.abs(x) == F.lit(float("inf"))
+
+
+def is_nan(x: Column) -> Column:
+    """NULL for NULL: Spark's isnan says false."""
+    return F.when(x.isNotNull(), F.isnan(x))
 
 
 def range_bucket(point: Column, bounds: Column) -> Column:
@@ -86,7 +147,7 @@ def sech(x: Column) -> Column:
     return F.lit(1.0) / F.cosh(x)
 
 
-# --- strings ---------------------------------------------------------------------------------------------------------
+# strings
 
 
 def split(s: Column, by: str = ",") -> Column:
@@ -160,11 +221,82 @@ def to_base32(b: Column) -> Column:
     return F.when(n == 0, F.lit("")).otherwise(F.rpad(F.array_join(out, ""), (F.ceil(n / 5) * 8).cast("int"), "="))
 
 
+def from_base32(s: Column) -> Column:
+    """The bytes of whole groups of eight bits; padding is passed over."""
+    bare = F.rtrim(s, F.lit("="))
+    bits = F.array_join(F.transform(F.split(bare, ""), lambda c: F.lpad(F.conv((F.position(c, F.lit(_BASE32)) - 1).cast("string"), 10, 2), 5, "0")), "")
+    n = F.floor(F.length(bare) * 5 / 8).cast("int")
+    hexed = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    return F.when(s.isNull(), None).when(n == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(hexed, "")))
+
+
+def from_hex(s: Column) -> Column:
+    """An odd number of digits gets a leading zero; other characters are an error."""
+    bad = ~F.rlike(s, F.lit("^[0-9a-fA-F]*$"))
+    return F.when(bad, F.raise_error(F.lit("no hexadecimal digits")).cast("binary")).otherwise(F.unhex(s))
+
+
+def chr_(c: Column) -> Column:
+    """CHR: the character of any code point; 0 gives an empty text, NULL NULL."""
+    return F.when(c == 0, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32"))
+
+
+def unicode(s: Column) -> Column:
+    """The first code point, 0 for an empty text."""
+    return F.when(s == "", F.lit(0).cast("long")).otherwise(F.conv(F.hex(F.encode(F.left(s, F.lit(1)), "UTF-32")), 16, 10).cast("long"))
+
+
+def code_points_to_bytes(a: Column) -> Column:
+    """Numbers from 0 to 255 as bytes; NULL if any is, an error for others."""
+    bad = F.exists(a, lambda c: (c < 0) | (c > 255))
+    joined = F.unhex(F.array_join(F.transform(a, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return F.when(F.exists(a, lambda c: c.isNull()), None).when(bad, F.raise_error(F.lit("no byte")).cast("binary")).otherwise(joined)
+
+
+def safe_convert_bytes_to_string(b: Column) -> Column:
+    """What isn't UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(b.cast("string"))
+
+
+def trim(s: Column, chars: str = " \t\r\n\x0b\x0c") -> Column:
+    return F.btrim(s, F.lit(chars))
+
+
+def regexp_extract(s: Column, pattern: str, position: int = 1, occurrence: int = 1) -> Column:
+    """The nth match from a position on, or its group if the pattern has one; NULL where there is none."""
+    import re
+
+    groups = re.compile(pattern).groups
+    found = F.regexp_extract_all(F.substring(s, position, 2**31 - 1), F.lit(pattern), F.lit(1 if groups else 0))
+    return F.get(found, F.lit(occurrence - 1))
+
+
+def regexp_instr(s: Column, pattern: str, position: int = 1, occurrence: int = 1) -> Column:
+    """Where the nth match from a position on begins, 0 if there is none: the pieces before it are as long as what precedes it."""
+    tail = F.substring(s, position, 2**31 - 1)
+    found, pieces = F.regexp_extract_all(tail, F.lit(pattern), F.lit(0)), F.split(tail, pattern, occurrence + 1)
+    before = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
+    at = before(pieces, occurrence) + before(found, occurrence - 1) + position if occurrence > 1 else before(pieces, 1) + position
+    return F.when(s.isNull(), None).when(F.size(found) >= occurrence, at).otherwise(0).cast("long")
+
+
+def regexp_replace(s: Column, pattern: str, replacement: str) -> Column:
+    """Groups are \\1 to \\9 in the replacement, as in RE2; a dollar sign is itself."""
+    import re
+
+    return F.regexp_replace(s, F.lit(pattern), F.lit(re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))))
+
+
+def if_error(x: Column, otherwise: Column) -> Column:
+    """IFERROR for an expression that has a form giving NULL in place of its errors (a try_ function)."""
+    return F.coalesce(x, otherwise)
+
+
 def array_to_string(a: Column, by: str, null_text: str | None = None) -> Column:
     return F.array_join(a, by) if null_text is None else F.array_join(a, by, null_text)
 
 
-# --- arrays ----------------------------------------------------------------------------------------------------------
+# arrays
 
 
 def array_slice(a: Column, first: int, last: int) -> Column:
@@ -175,6 +307,23 @@ def array_slice(a: Column, first: int, last: int) -> Column:
     return F.when(a.isNotNull(), F.slice(a, lo + 1, F.greatest(hi - lo + 1, F.lit(0))))
 
 
+def array_first(a: Column) -> Column:
+    """An empty array is an error."""
+    return F.when(F.size(a) == 0, F.raise_error(F.lit("the array is empty"))).otherwise(F.get(a, F.lit(0)))
+
+
+def array_last(a: Column) -> Column:
+    return F.when(F.size(a) == 0, F.raise_error(F.lit("the array is empty"))).otherwise(F.get(a, F.size(a) - 1))
+
+
+def subscript(a: Column, at: int, from_one: bool = False, safe: bool = False) -> Column:
+    """a[OFFSET(at)], or ORDINAL with from_one; outside the array an error, NULL if safe."""
+    i = F.lit(at - from_one)
+    inside = (i >= 0) & (i < F.size(a))
+    out = F.when(inside, F.get(a, F.greatest(i, F.lit(0))))
+    return out if safe else out.when(~inside, F.raise_error(F.lit("no such element")))
+
+
 def array_is_distinct(a: Column) -> Column:
     return F.size(a) == F.size(F.array_distinct(a))
 
@@ -191,12 +340,14 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
+    """A vector of length zero has no direction: an error."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.lit(1.0) - dot / (norm(a) * norm(b))
+    size = norm(a) * norm(b)
+    return F.when(size == 0, F.raise_error(F.lit("cosine distance of a zero vector")).cast("double")).otherwise(F.lit(1.0) - F.try_divide(dot, size))
 
 
-# --- dates and times -------------------------------------------------------------------------------------------------
+# dates and times
 
 _MONTHS = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
 
@@ -245,7 +396,7 @@ def year_is(d: Column, year: int) -> Column:
     return (d >= F.lit(f"{year}-01-01").cast("date")) & (d < F.lit(f"{year + 1}-01-01").cast("date"))
 
 
-# --- errors ----------------------------------------------------------------------------------------------------------
+# errors
 
 
 def error(message: str) -> Column:

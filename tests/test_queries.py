@@ -55,4 +55,4 @@ def test_entry_module_offers_all(spark):
 def test_a_query_over_the_whole_table_is_registered(spark, duck, name, table):
     rows = {"nation": "SELECT count(*) * (SELECT count(*) FROM region) FROM nation", "embeddings": "SELECT sum(len(embedding)) FROM embeddings"}
     want = duck.execute(rows.get(table, f"SELECT count(*) FROM {table}")).fetchone()[0]
-    assert registry.QUERIES[name + "_whole"](spark, FOLDER).count() == want
+    assert registry.QUERIES[name](spark, FOLDER).count() == want
