@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import fitted_join, materialise, tidy
 from heddle.llm.lm_scoring import _summed
-from heddle.llm.words import hashed_words, parts, sets_of
+from heddle.llm.words import hashed_words, parts, sets_of, trim
 
 THRESHOLD = Fraction(4, 5)
 #: Most frequent tokens, whose order is their count; all others are rarer than these and ordered by their hash.
@@ -33,7 +33,7 @@ RANKED = 100_000
 #: Occurrences of a posted token, from which on its earliest lines are tried first; and how many of those.
 MANY, EARLIEST = 1000, 32
 #: Tokens or postings that a task gathers before it sends them on, as one row for each hash range.
-FLUSH = 400_000
+FLUSH = 200_000
 U = np.uint64
 
 
@@ -197,6 +197,7 @@ def _met(postings: DataFrame, threshold: Fraction) -> DataFrame:
         hot = t.column("hot").to_numpy(zero_copy_only=False)
         taken = lambda which: [np.frombuffer(b"".join(v.as_py() for v in c.filter(pa.array(which))), kind) for c, kind in zip(columns, (U, np.int64, np.int64, U, U), strict=True)]
         x, y = meet(*taken(~hot), threshold)
+        trim()
         token, ids, place, s1, s2 = taken(hot)
         none = np.zeros(len(x), np.int64)
         return pa.table({"token": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(token.view(np.int64))]), "x": np.append(x, ids), "y": np.append(y, place), "s1": np.append(none, s1.view(np.int64)), "s2": np.append(none, s2.view(np.int64))})
@@ -204,7 +205,7 @@ def _met(postings: DataFrame, threshold: Fraction) -> DataFrame:
     return postings.groupBy("range").applyInArrow(run, "token long, x long, y long, s1 long, s2 long")
 
 
-def meet(token: np.ndarray, ids: np.ndarray, place: np.ndarray, s1: np.ndarray, s2: np.ndarray, threshold: Fraction, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def meet(token: np.ndarray, ids: np.ndarray, place: np.ndarray, s1: np.ndarray, s2: np.ndarray, threshold: Fraction, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (later, earlier) ids of postings that share a token and pass the filters."""
     num, den = threshold.numerator, threshold.denominator
     _, token, times = np.unique(token, return_inverse=True, return_counts=True)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import materialise, small_batches, tidy
-from heddle.llm.words import hashed_words
+from heddle.llm.words import hashed_words, trim
 
 ORDER = 5
 #: Bytes of text in a block, whose distinct grams are counted and scored together.
@@ -251,6 +251,7 @@ def block_counts(rows: DataFrame, order: int, ranges: int) -> DataFrame:
                 h, n = np.unique(hashed_words(part)[0], return_counts=True)
                 words.append((h, n * (not held)))
         keys, counts = _merged(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]), bits)
+        trim()
         w, wn = _summed([(np.empty(0, U), np.empty(0, np.int64)), *words])
         g, x = _cuts(keys, bits, ranges), _cuts(w, 64, ranges)
         cut = lambda f, c, at: pa.array([f(c[i:j]) for i, j in zip(at, at[1:])], pa.binary())
@@ -407,6 +408,8 @@ def text_scores(rows: DataFrame, logged: DataFrame, order: int, below: float, en
             base = np.bincount(of, weights=word_logs[at], minlength=len(part)) if len(h) else np.zeros(len(part))
             found.append((n + 1, known + (ends > 0), base + math.log10(ends + 0.5) - (n + 1) * below, score))
         a, b, c, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        del keys, logs, words, times, word_logs
+        trim()
         return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(a.astype(np.int64)), "n_known": pa.array(b.astype(np.int64)), "base_score": pa.array(c), "score": pa.array(d)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

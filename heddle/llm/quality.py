@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import small_batches
 from heddle.llm.lm_scoring import blocks, fold
+from heddle.llm.words import trim
 
 #: Labelled documents that a model is fitted on at most, taken in the order of a hash of their ids.
 MAX_LABELLED = 4000
@@ -190,6 +191,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [probabilities(shared.value, part) for part in blocks((v.as_py() for v in batch.column(1)), 1 << 18)]
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -203,6 +205,7 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", least: f
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [probabilities(shared.value, p) for p in blocks((v.as_py() for v in texts), 1 << 18)]
+        trim()
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return docs.where(score(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")) >= least)

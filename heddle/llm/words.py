@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ CHUNK = 1 << 18
 #: Bytes of text in a part of a batch; a longer text is a part of its own.
 PART_BYTES = 1 << 20
 _POWERS: list[np.ndarray] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
 
 def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,6 +31,14 @@ def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterato
         until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
         yield batch.slice(at, until - at)
         at = until
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system: Python workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
