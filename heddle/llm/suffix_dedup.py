@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import fitted_join, materialise, tidy
 from heddle.llm.windows import PIECE, anchors, window_hashes
+from heddle.llm.words import trim
 
 MIN_BYTES = 200
 ANCHOR_BYTES = 64
 #: Distinct runs of one name that a task compares at once.
 HOT_RUNS = 1000
 #: Bytes of runs that a task gathers before it compares them.
-GATHER_BYTES = 4 << 20
+GATHER_BYTES = 1 << 18
 
 
 @tidy
@@ -180,6 +181,7 @@ def _edges(texts: DataFrame, min_bytes: int) -> DataFrame:
                 last = r[0]
         if rows:
             yield compare(rows)
+        trim()
 
     return texts.repartition("name").sortWithinPartitions("name").mapInArrow(run, _SPAN)
 
