@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise
+from heddle.llm.common import materialise, small_batches
+from heddle.llm.words import trim
 
 MAX_TOKENS = 4096
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -185,6 +186,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_
 
     A null text is empty, so that its one piece is the end id.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +205,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_
                 if with_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
+            trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
