@@ -21,3 +21,26 @@ def test_words_lines_and_sets(texts):
     assert sizes.tolist() == [len(set(ws)) for _, _, ws in lines]
     at = np.cumsum(sizes) - sizes
     assert [set(s[a : a + n].tolist()) for a, n in zip(at, sizes)] == [{names[w] for w in ws} for _, _, ws in lines]
+
+
+def test_long_words_and_chunk_borders_hash_alike():
+    from heddle.llm.words import CHUNK
+
+    r = __import__("random").Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(90_000)] + ["x" * (CHUNK + 17), "end"]
+    h, line, text_of, number = hashed_words([" ".join(words).encode()])
+    assert len(h) == len(words) and set(line.tolist()) == {0}
+    for i in (0, 1, 45_000, 89_999, 90_000, 90_001):
+        assert hashed_words([b" " + words[i].encode()])[0][0] == h[i]
+    several = [i for i, w in enumerate(words) if w == words[7]]
+    assert len({int(h[i]) for i in several}) == 1
+
+
+def test_parts_cut_by_bytes_and_keep_all_rows():
+    import pyarrow as pa
+
+    from heddle.llm.words import parts
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 10, None, "b" * 1000, "", "c" * 30])], ["i", "t"])
+    got = [p.column(0).to_pylist() for p in parts(batch, 1, 64)]
+    assert [i for p in got for i in p] == list(range(5)) and len(got) > 1 and list(parts(batch.slice(0, 0), 1)) == []
