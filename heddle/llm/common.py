@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -74,6 +75,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files that no table here needs: their handles may hang on cycles in Python, so those go first."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of materialise() before the end of the tidy() call that it was made in."""
+    for f in df.inputFiles()[:1]:
+        remove(df.sparkSession, f.rsplit("/", 1)[0])
+
+
 def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs one task's rows at most.
 
@@ -84,7 +97,7 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     small_batches(spark)
     df.write.parquet(path)
     if free:
-        spark._jvm.System.gc()
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

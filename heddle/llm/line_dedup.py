@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import fitted_join, materialise, tidy
+from heddle.llm.common import discard, fitted_join, materialise, tidy
 from heddle.llm.lm_scoring import _summed
 from heddle.llm.words import hashed_words, parts, sets_of, trim
 
@@ -313,8 +312,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = _keyed(docs, id_col, text_col)
     ranges = _ranges(docs)
     found = materialise(_scan(keyed, ranges), "lines")
-    lines = found.where("kind = 0").select("doc", "mark", "no", "a", "b")
     frequent = _frequent(found, ranges)
+    # The counts take three times the lines' disk and aren't needed from here on; nor are the shuffle files behind frequent.
+    lines = materialise(found.where("kind = 0").select("doc", "mark", "no", "a", "b"), "lines", free=True)
+    discard(found)
 
     order = F.struct(F.col("doc").isNull().alias("late"), "doc", "mark", "no")
     sets = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -353,8 +354,8 @@ def _least_size(threshold: Fraction) -> int:
     return n
 
 
-def _kept(text: str, gone: np.ndarray | None) -> str:
-    if gone is None or not len(gone):
+def _kept(text: str, gone: list[int] | None) -> str:
+    if not gone:
         return text
     drop = set(gone)
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
@@ -367,9 +368,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = fitted_join(given, gone, ["doc", "mark"], "left")
     text = f"c{docs.columns.index(text_col)}"
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _kept(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _kept(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
 
     joined = joined.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(cut(text, "gone")))
     return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

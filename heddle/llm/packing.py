@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -181,10 +180,11 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32 [, ids]): each text's ids, then end_id, cut into pieces of max_tokens; the last may be shorter.
+def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, rank: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 [, ids] [, part, local]): each text's ids, then end_id, cut into pieces of max_tokens; the last may be shorter.
 
-    A null text is empty, so that its one piece is the end id.
+    A null text is empty, so that its one piece is the end id. rank: with the columns of ranked(), from the same Python worker;
+    a node of its own would take a second worker for each core, and Spark keeps those for a minute.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -208,32 +208,39 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = MAX_
             trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    if rank:
+        return rows.mapInArrow(lambda batches: _with_ranks(run(batches), "length"), f"{schema}, {_RANKS}")
+    return rows.mapInArrow(run, schema)
+
+
+_RANKS = "part int, local long"
+
+
+def _with_ranks(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """A task's batches with the columns of ranked()."""
+    seen = np.zeros(1, np.int64)
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        value = batch.column(batch.schema.get_field_index(by)).to_numpy()
+        if not len(value):
+            continue
+        if value.max() >= len(seen):
+            seen = np.append(seen, np.zeros(value.max() + 1 - len(seen), np.int64))
+        order = np.argsort(value, kind="stable")
+        s = value[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.diff(np.append(first, len(s)))
+        local = np.empty(len(s), np.int64)
+        local[order] = np.arange(len(s)) - np.repeat(first, n) + np.repeat(seen[s[first]], n)
+        seen[s[first]] += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(s), part, np.int32)), pa.array(local)], [*batch.schema.names, "part", "local"])
 
 
 def ranked(rows: DataFrame, by: str = "length") -> DataFrame:
     """rows with part and local: the rank of a row among those of its task with its length. To be written before use."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1, np.int64)
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            value = batch.column(batch.schema.get_field_index(by)).to_numpy()
-            if not len(value):
-                continue
-            if value.max() >= len(seen):
-                seen = np.append(seen, np.zeros(value.max() + 1 - len(seen), np.int64))
-            order = np.argsort(value, kind="stable")
-            s = value[order]
-            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            n = np.diff(np.append(first, len(s)))
-            local = np.empty(len(s), np.int64)
-            local[order] = np.arange(len(s)) - np.repeat(first, n) + np.repeat(seen[s[first]], n)
-            seen[s[first]] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(s), part, np.int32)), pa.array(local)], [*batch.schema.names, "part", "local"])
-
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, part int, local long")
+    return rows.mapInArrow(lambda batches: _with_ranks(batches, by), f"{fields}, {_RANKS}")
 
 
 def pack(pieces: DataFrame, limits: Limits = Limits(), weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
@@ -242,28 +249,36 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), weights: tuple[float, flo
     Every piece is placed once; a sequence's pieces are gapless from offset 0 and keep every limit. An empty table
     stays empty.
     """
-    rows = materialise(ranked(pieces), "pieces")
+    return _placed(ranked(pieces), limits, weights, rule)
+
+
+def _placed(pieces: DataFrame, limits: Limits, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
+    """pack() of ranked() pieces."""
+    rows = materialise(pieces, "pieces")
+    columns = rows.columns[:-2]
     counts = rows.groupBy("part", "length").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = materialise(counts.select("part", "length", "count", before.alias("before")), "lengths")
     # One row for each length, max_tokens at most.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    places = pd.DataFrame(plan(histogram, limits, weights, rule), columns=["length", "rank", "n", "bin", "at"]).sort_values(["length", "rank"])
-    placer = _placer(places)
+    placer = _placer(plan(histogram, limits, weights, rule))
     spark = pieces.sparkSession
     table = spark.sparkContext.broadcast(placer)  # intervals: grows with the distinct lengths, at most max_tokens, not with the rows
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def where(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("sequence_id", "offset"), _place(table.value, length.to_numpy(), rank.to_numpy()), strict=True)))
+    @F.arrow_udf("sequence_id long, offset long")
+    def where(length: pa.Array, rank: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in _place(table.value, length.to_numpy(), rank.to_numpy())], ["sequence_id", "offset"])
 
     joined = rows.join(counts.drop("count").withColumnRenamed("length", "l"), (F.col("l") == rows["length"]) & (counts["part"] == rows["part"]))
-    joined = joined.select(*(rows[c] for c in pieces.columns), where(rows["length"], F.col("local") + F.col("before")).alias("w"))
-    return joined.select(*pieces.columns, "w.sequence_id", "w.offset")
+    joined = joined.select(*(rows[c] for c in columns), where(rows["length"], F.col("local") + F.col("before")).alias("w"))
+    return joined.select(*columns, "w.sequence_id", "w.offset")
 
 
-def _placer(places: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: places[c].to_numpy(np.int64) for c in places.columns} | {"key": (places["length"].to_numpy(np.int64) << 46) + places["rank"].to_numpy(np.int64)}
+def _placer(places: list[tuple[int, int, int, int, int]]) -> dict[str, np.ndarray]:
+    """The rows of plan() as columns, by length and rank."""
+    rows = np.array(places, np.int64).reshape(-1, 5)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return {"rank": rows[:, 1], "bin": rows[:, 3], "at": rows[:, 4], "key": (rows[:, 0] << 46) + rows[:, 1]}
 
 
 def _place(p: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,4 +288,4 @@ def _place(p: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tu
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Tokenises and packs docs: (doc_id, piece, start, length, ids_crc32 [, ids], sequence_id, offset)."""
-    return pack(tokenise(docs, path, end_id, limits.tokens, id_col, text_col, ids), limits)
+    return _placed(tokenise(docs, path, end_id, limits.tokens, id_col, text_col, ids, rank=True), limits)

@@ -255,12 +255,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = fitted_join(given, spans, ["doc", "mark"], "left")
     text = f"c{docs.columns.index(text_col)}"
 
-    @F.pandas_udf("string")
-    def cut(texts, starts, ends):
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         out = []
-        for t, s, e in zip(texts, starts, ends, strict=True):
-            out.append(t if t is None or s is None else b"".join(_kept(memoryview(t.encode()), list(s), list(e))).decode("utf-8", "ignore"))
-        return texts.__class__(out, dtype=object)
+        for t, s, e in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+            out.append(t if t is None or s is None else b"".join(_kept(memoryview(t.encode()), s, e)).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
 
     joined = joined.withColumn(text, F.when(F.col("starts").isNull(), F.col(text)).otherwise(cut(text, "starts", "ends")))
     return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

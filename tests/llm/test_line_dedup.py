@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from heddle.llm import line_dedup
+from heddle.llm import common, line_dedup
 from heddle.llm.line_dedup import line_digest, remove_lines, removed_lines
 
 SCHEMA = "doc_id long, text string, mark string, no int"
@@ -65,3 +65,20 @@ def test_columns_rows_and_repeats(spark):
 
 def test_least_size():
     assert line_dedup._least_size(line_dedup.THRESHOLD) == 4
+
+
+def test_token_counts_are_gone_before_postings_are_written(spark, monkeypatch):
+    seen, real, written = [], line_dedup._postings, []
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name, free=False: written.append(common.materialise(df, name, free)) or written[-1])
+
+    def postings(*args):
+        for path in {f.rsplit("/", 1)[0] for df in written for f in df.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+                seen.extend(spark.read.parquet(path).columns)
+        return real(*args)
+
+    monkeypatch.setattr(line_dedup, "_postings", postings)
+    docs = spark.createDataFrame([(i, "a b c d e\nf g h i j " + "k" * i) for i in range(20)], "doc_id long, text string")
+    assert line_dedup.removed_lines(docs).count() == 19
+    assert "doc" in seen and "tokens" not in seen

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from heddle.llm import packing
 from heddle.llm.packing import Limits, WordEncoder, pack, pack_documents, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -89,3 +90,11 @@ def test_documents_are_packed_whole(spark):
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     assert pack(spark.createDataFrame([], "length long, part2 string")).columns == ["length", "part2", "sequence_id", "offset"]
+
+
+def test_pieces_are_cut_and_ranked_in_one_python_node(spark, monkeypatch):
+    nodes, real = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: nodes.append((name, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))) or real(df, name))
+    docs = spark.createDataFrame([(i, "a b c" * (i % 4)) for i in range(40)], "doc_id long, text string")
+    assert pack_documents(docs, PATH).count() == 40
+    assert nodes == [("pieces", 1), ("lengths", 0)]

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 from corpus_pipeline import STAGES, run
@@ -53,3 +55,9 @@ def test_run_gives_the_last_stages_rows(spark, tmp_path):
     tables(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(run(spark, str(tmp_path)).columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "suffix-array dedup", "best-fit packing"]
+
+
+def test_workers_load_no_pandas():
+    modules = "bpe, exact_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, suffix_dedup, words"
+    code = f"import sys, pyspark.worker; from heddle.llm import {modules}; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
