@@ -33,6 +33,8 @@ RANKED = 100_000
 MANY, EARLIEST = 1000, 32
 #: Tokens or postings that a task gathers before it sends them on, as one row for each hash range.
 FLUSH = 200_000
+#: Leading bits of a hash by which it is looked up among the ranked tokens.
+LEADING = 18
 U = np.uint64
 
 
@@ -151,10 +153,10 @@ def _postings(keyed: DataFrame, asked: DataFrame, frequent: tuple[np.ndarray, np
     least = _least_size(threshold)
     names = ["range", "hot", "tokens", "ids", "places", "s1", "s2"]
 
-    def packed(columns: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def packed(columns: list[tuple[np.ndarray, ...]], begins: np.ndarray) -> pa.RecordBatch:
         sorted_hashes, _, is_hot = shared.value
         token, *others = (np.concatenate(c) for c in zip(*columns, strict=True))
-        i = np.minimum(np.searchsorted(sorted_hashes, token), max(0, len(sorted_hashes) - 1))
+        i = _found(token, sorted_hashes, begins)
         hot = (sorted_hashes[i] == token) & is_hot[i] if len(sorted_hashes) else np.zeros(len(token), bool)
         to = np.where(hot, ranges + np.arange(len(token)) * 7919 % ranges, _range_of(token, ranges))
         out = list(_packed(to, token, *others))
@@ -162,11 +164,12 @@ def _postings(keyed: DataFrame, asked: DataFrame, frequent: tuple[np.ndarray, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_hashes, rank_of, _ = shared.value
+        begins = _begins(sorted_hashes)
         pending, waiting = [], 0
         for batch in batches:
             for part in parts(batch, 0):
                 h, sizes, ids = _chosen_sets(part)
-                places = _places(h, sorted_hashes, rank_of)
+                places = _places(h, sorted_hashes, rank_of, begins)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.argsort(row << 50 | places) if len(sizes) < 8192 else np.lexsort((places, row))
                 pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -179,10 +182,10 @@ def _postings(keyed: DataFrame, asked: DataFrame, frequent: tuple[np.ndarray, np
                 pending.append((h[order][in_prefix], ids[r], sizes[r] << 20 | np.minimum(pos[in_prefix], 0xFFFFF), s1[r], s2[r]))
                 waiting += len(r)
                 if waiting > FLUSH:
-                    yield packed(pending)
+                    yield packed(pending, begins)
                     pending, waiting = [], 0
         if waiting:
-            yield packed(pending)
+            yield packed(pending, begins)
 
     return rows.mapInArrow(run, "range int, hot boolean, tokens binary, ids binary, places binary, s1 binary, s2 binary")
 
@@ -245,12 +248,29 @@ def meet(token: np.ndarray, ids: np.ndarray, place: np.ndarray, s1: np.ndarray,
     return x[new], y[new]
 
 
-def _places(hashes: np.ndarray, sorted_hashes: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
+def _begins(sorted_hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes are smaller, for each value of the leading bits."""
+    n = np.bincount((sorted_hashes >> U(64 - LEADING)).astype(np.int64), minlength=1 << LEADING)
+    return (np.cumsum(n) - n).astype(np.int32)
+
+
+def _found(hashes: np.ndarray, sorted_hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """np.searchsorted(sorted_hashes, hashes), or the last index where that is beyond: a few passes over those with equal leading bits."""
+    last = max(0, len(sorted_hashes) - 1)
+    i = np.minimum(begins.take((hashes >> U(64 - LEADING)).astype(np.int64)), last)
+    behind = np.flatnonzero(sorted_hashes.take(i) < hashes) if len(sorted_hashes) else np.empty(0, np.int64)
+    while len(behind := behind[i[behind] < last]):
+        i[behind] += 1
+        behind = behind[sorted_hashes.take(i[behind]) < hashes[behind]]
+    return i
+
+
+def _places(hashes: np.ndarray, sorted_hashes: np.ndarray, rank_of: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """50-bit sort keys of tokens: first those beyond the ranked ones, by their hash, then the ranked ones, rarest first."""
     rare = (hashes >> U(15)).astype(np.int64)
     if not len(sorted_hashes):
         return rare
-    i = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+    i = _found(hashes, sorted_hashes, begins)
     return np.where(sorted_hashes[i] == hashes, (1 << 50) - 1 - rank_of[i], rare)
 
 

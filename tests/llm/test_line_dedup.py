@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from heddle.llm import common, line_dedup
 from heddle.llm.line_dedup import line_digest, remove_lines, removed_lines
 
@@ -82,3 +83,16 @@ def test_token_counts_are_gone_before_postings_are_written(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c d e\nf g h i j " + "k" * i) for i in range(20)], "doc_id long, text string")
     assert line_dedup.removed_lines(docs).count() == 19
     assert "doc" in seen and "tokens" not in seen
+
+
+def test_hashes_are_found_among_ranked_ones_as_by_bisection():
+    from heddle.llm.line_dedup import _begins, _found
+
+    r = np.random.default_rng(3)
+    spread = r.integers(0, 2**64, 5000, np.uint64)
+    close = np.uint64(77 << 46) + np.arange(0, 60, 2, dtype=np.uint64)  # all with the same leading bits
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    for ranked in (np.unique(np.concatenate([spread, close])), close, ends, np.empty(0, np.uint64)):
+        asked = np.concatenate([ranked, ranked + np.uint64(1), r.integers(0, 2**64, 3000, np.uint64), ends])
+        got = _found(asked, ranked, _begins(ranked))
+        assert got.tolist() == np.minimum(np.searchsorted(ranked, asked), max(0, len(ranked) - 1)).tolist()

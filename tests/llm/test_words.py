@@ -44,3 +44,18 @@ def test_parts_cut_by_bytes_and_keep_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 10, None, "b" * 1000, "", "c" * 30])], ["i", "t"])
     got = [p.column(0).to_pylist() for p in parts(batch, 1, 64)]
     assert [i for p in got for i in p] == list(range(5)) and len(got) > 1 and list(parts(batch.slice(0, 0), 1)) == []
+
+
+def test_spaces_lines_and_chunks_as_in_bytes_split(monkeypatch):
+    from heddle.llm import words
+
+    texts = [bytes(range(256)), b"", b"\n\n", b" a\tb\x0bc\x0cd\re\x08f\x0eg \x1f!", b"x" * 50 + b"\n" + b"yy " * 40, b"end"]
+    plain = hashed_words(texts)
+    monkeypatch.setattr(words, "CHUNK", 16)
+    monkeypatch.setattr(words, "_POWERS", [])
+    assert all(np.array_equal(a, b) for a, b in zip(plain, hashed_words(texts)))
+    lines = [x for t in texts for x in t.split(b"\n")]
+    want = [(k, w) for k, x in enumerate(lines) for w in x.split()]
+    assert plain[1].tolist() == [k for k, _ in want]
+    assert [int(hashed_words([w])[0][0]) for _, w in want] == plain[0].tolist()
+    assert len(hashed_words([])[0]) == len(hashed_words([b" "])[0]) == 0
