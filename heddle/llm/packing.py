@@ -14,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from heddle.llm.common import materialise, small_batches
 from heddle.llm.words import trim
 
 MAX_TOKENS = 4096
-#: Words whose ids a Python worker keeps.
+#: Words whose ids a Python worker keeps, beside those of the text at hand; then the rarer half goes.
 CACHED_WORDS = 100_000
 
 
@@ -133,18 +134,35 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.begins, self.flat, self.size = np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
-
-    def add(self, word: str, ids: list[int]) -> None:
-        n = len(self.known)
-        if n + 2 > len(self.begins):
-            self.begins = np.append(self.begins, np.zeros_like(self.begins))
-        while self.size + len(ids) > len(self.flat):
+        self.begins, self.flat, self.uses = np.zeros(1024, np.int64), np.zeros(4096, "<u4"), np.zeros(1024, np.int32)
+
+    def add(self, words: list[str], n: np.ndarray, ids: np.ndarray) -> None:
+        """words, none of them known; n: how many of ids each has."""
+        first, until = len(self.known), len(self.known) + len(words)
+        ends = self.begins[first] + np.cumsum(n)
+        while until + 1 > len(self.begins):
+            self.begins, self.uses = np.append(self.begins, np.zeros_like(self.begins)), np.append(self.uses, np.zeros_like(self.uses))
+        while ends[-1] > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.size : self.size + len(ids)] = ids
-        self.size += len(ids)
-        self.known[word] = n
-        self.begins[n + 1] = self.size
+        self.flat[self.begins[first] : ends[-1]] = ids
+        self.begins[first + 1 : until + 1] = ends
+        self.known.update(zip(words, range(first, until), strict=True))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids the known words at these places have, and their ids, one word after another."""
+        first, n = self.begins[at], self.begins[at + 1] - self.begins[at]
+        before = np.cumsum(n) - n
+        return n, self.flat[np.arange(int(n.sum())) + np.repeat(first - before, n)]
+
+    def thin(self) -> None:
+        """Forgets the half of the words that the fewest texts used, of late above all."""
+        uses = self.uses[: len(self.known)]
+        kept = np.sort(np.argsort(-uses, kind="stable")[: len(uses) // 2])
+        (n, ids), words = self.gather(kept), list(self.known)
+        self.clear()
+        if len(kept):
+            self.add(list(map(words.__getitem__, kept.tolist())), n, ids)
+            self.uses[: len(kept)] = uses[kept] >> 1
 
     def parts(self, text: str) -> tuple[list[str], set[str]]:
         """The words' parts in order, and those of them that are no plain ones."""
@@ -159,20 +177,28 @@ class WordEncoder:
                 odd.add(out[-1])
         return out, odd
 
+    def ids(self, word: str, odd: bool) -> list[int]:
+        if odd:
+            return self.tokenizer.encode(word[1:], add_special_tokens=False).ids
+        if not (word.isascii() and word.isprintable()):  # the letters of printable bytes are the bytes
+            word = "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(word)]
+
     def encode(self, text: str) -> np.ndarray:
         parts, odd = self.parts(text)
         if len(self.known) > self.most:
-            self.clear()
+            self.thin()
         known = self.known
-        for w in set(parts).difference(known):
-            if w in odd:
-                self.add(w, self.tokenizer.encode(w[1:], add_special_tokens=False).ids)
-            else:
-                self.add(w, [t.id for t in self.model.tokenize("".join([self.letters[b] for b in w.encode()]))])
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        first, n = self.begins[at], self.begins[at + 1] - self.begins[at]
-        before = np.cumsum(n) - n
-        return self.flat[np.arange(int(n.sum())) + np.repeat(first - before, n)]
+        at = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            words = list(dict.fromkeys([parts[i] for i in new]))
+            ids = [self.ids(w, w in odd) for w in words]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.add(words, n, np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum())))
+            at[new] = [known[parts[i]] for i in new]
+        self.uses[at] += 1
+        return self.gather(at)[1]
 
 
 @lru_cache(maxsize=4)

@@ -65,6 +65,18 @@ def test_words_give_the_texts_ids():
         assert words.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_frequent_words_stay_known():
+    words, whole = WordEncoder(PATH, most=100), Tokenizer.from_file(PATH)
+    common, asked = [f"common{chr(97 + i)}" for i in range(20)], []
+    real = words.ids
+    words.ids = lambda w, odd: asked.append(w) or real(w, odd)
+    for i in range(200):
+        t = " ".join([*common, *(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(20))])
+        assert words.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert len(words.known) <= 100 + 40
+    assert all(asked.count(w) == 1 for w in common)  # never asked for again, however many rare words come between
+
+
 def test_documents_are_packed_whole(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 8)))
