@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # numbers
 
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
 
 def to_int64(x: Column) -> Column:
     """CAST(FLOAT64 AS INT64): halves go away from zero, where Spark cuts off."""
@@ -35,6 +37,25 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def safe_add(a: Column, b: Column) -> Column:
+    """Sum of 64-bit integers, NULL where it overflows. It's looked up beforehand: try_add throws and catches an exception in each such row."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.when(F.when(b > 0, a <= F.lit(_MOST) - b).otherwise(a >= F.lit(_LEAST) - b), a + b)
+
+
+def safe_subtract(a: Column, b: Column) -> Column:
+    """Difference of 64-bit integers, NULL where it overflows, as in safe_add."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.when(F.when(b > 0, a >= F.lit(_LEAST) + b).otherwise(a <= F.lit(_MOST) + b), a - b)
+
+
+def safe_multiply(a: Column, b: Column) -> Column:
+    """Product of 64-bit integers, NULL where it overflows, as in safe_add: whole quotients of the limits bound the other factor."""
+    a, b = a.cast("long"), b.cast("long")
+    least, most = (F.call_function("div", F.lit(x), b) for x in (_LEAST, _MOST))
+    return F.when(F.when(b > 0, a.between(least, most)).when(b < -1, a.between(most, least)).when(b == -1, a > _LEAST).otherwise(b == 0), a * b)
+
+
 def safe_negate(x: Column) -> Column:
     return F.try_subtract(F.lit(0).cast("long"), x)
 

@@ -488,7 +488,17 @@ sql("q_fn_json", "SELECT event_id, SIZE(JSON_OBJECT_KEYS(props)) AS n_keys, GET_
 sql("q_fn_net", "SELECT page_id, PARSE_URL(url, 'HOST') AS host FROM pages", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
 sql("q_fn_null_handling", "SELECT n_nationkey, NULLIFZERO(n_regionkey) AS nz, ZEROIFNULL(NULLIF(n_regionkey, 2)) AS zn, IF(n_regionkey > 2, 'hi', 'lo') AS f, IFNULL(NULLIF(n_name, 'NATION_3'), '-') AS i FROM nation", "SELECT n_nationkey, CAST(NULLIF(n_regionkey, 0) AS BIGINT) AS nz, CAST(COALESCE(NULLIF(n_regionkey, 2), 0) AS BIGINT) AS zn, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS f, COALESCE(NULLIF(n_name, 'NATION_3'), '-') AS i FROM nation")
 sql("q_fn_trig", "SELECT l_orderkey, l_linenumber, ROUND(SINH(l_tax) + COSH(l_tax) + TANH(l_tax) + ASIN(l_tax) + ACOS(l_tax) + ATAN(l_tax), 9) AS a, ROUND(DEGREES(l_tax) + RADIANS(l_quantity), 9) AS d, ROUND(LOG(2, l_quantity) + LOG10(l_quantity), 9) AS lg, ROUND(COT(l_quantity) + SEC(l_tax) + CSC(l_quantity), 6) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, round(sinh(l_tax) + cosh(l_tax) + tanh(l_tax) + asin(l_tax) + acos(l_tax) + atan(l_tax), 9) AS a, round(degrees(l_tax) + radians(l_quantity), 9) AS d, round(log2(l_quantity) + log10(l_quantity), 9) AS lg, round(cot(l_quantity) + 1 / cos(l_tax) + 1 / sin(l_quantity), 6) AS c FROM lineitem")
-sql("q_fn_safe", "SELECT l_orderkey, l_linenumber, TRY_DIVIDE(l_quantity, l_tax) IS NULL AS z, TRY_ADD(9223372036854775807, l_linenumber) AS a, TRY_MULTIPLY(l_orderkey, 2) AS m, TRY_SUBTRACT(l_orderkey, 1) AS s, TRY_ELEMENT_AT(ARRAY(1, 2), CAST(l_linenumber AS INT)) AS e FROM lineitem", "SELECT l_orderkey, l_linenumber, l_tax = 0 AS z, NULL::BIGINT AS a, l_orderkey * 2 AS m, l_orderkey - 1 AS s, [1, 2][l_linenumber] AS e FROM lineitem")
+
+
+@query("q_fn_safe", "SELECT l_orderkey, l_linenumber, l_tax = 0 AS z, NULL::BIGINT AS a, l_orderkey * 2 AS m, l_orderkey - 1 AS s, [1, 2][l_linenumber] AS e FROM lineitem")
+def _(t):
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.try_divide("l_quantity", "l_tax").isNull().alias("z"), g.safe_add(F.lit(2**63 - 1), line).alias("a"), g.safe_multiply(key, F.lit(2)).alias("m"), g.safe_subtract(key, F.lit(1)).alias("s"),
+        F.try_element_at(F.array(F.lit(1), F.lit(2)), line.cast("int")).alias("e"),
+    )
+
+
 sql("q_fn_parse_format", "SELECT o_orderkey, TO_DATE(DATE_FORMAT(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy') AS d, DATE_FORMAT(o_orderdate, 'EEEE') AS w, MAKE_DATE(2024, CAST(o_orderkey % 12 + 1 AS INT), 1) AS m, MONTHS_BETWEEN(DATE '2024-03-01', DATE '2024-01-01') AS mb FROM orders", "SELECT o_orderkey, o_orderdate::DATE AS d, dayname(o_orderdate) AS w, make_date(2024, (o_orderkey % 12 + 1)::BIGINT, 1) AS m, 2.0 AS mb FROM orders")
 sql("q_multi_unpivot", "SELECT s_suppkey, kind, k, v FROM supplier UNPIVOT ((k, v) FOR kind IN ((s_nationkey, s_acctbal) AS a, (s_suppkey2, s_acctbal2) AS b))".replace("FROM supplier", "FROM (SELECT s_suppkey, s_nationkey, s_acctbal, s_suppkey * 2 AS s_suppkey2, s_acctbal * 2 AS s_acctbal2 FROM supplier)"), "SELECT s_suppkey, 'a' AS kind, s_nationkey::BIGINT AS k, s_acctbal AS v FROM supplier UNION ALL SELECT s_suppkey, 'b', s_suppkey * 2, s_acctbal * 2 FROM supplier")
 sql("q_not_in_null_aware", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE r_regionkey END FROM region)", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE r_regionkey END FROM region)")

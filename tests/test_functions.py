@@ -23,3 +23,41 @@ def test_values(spark):
     wanted = cases()
     got = spark.range(1).select(*(c.alias(f"x{i}") for i, (c, _) in enumerate(wanted))).first()
     assert list(got) == [w for _, w in wanted]
+
+
+def test_safe_integer_arithmetic_at_the_edges(spark):
+    edges = [-(2**63), -(2**63) + 1, -(2**62) - 1, -(2**62), -3037000500, -7, -2, -1, 0, 1, 2, 7, 3037000499, 3037000500, 2**62 - 1, 2**62, 2**63 - 2, 2**63 - 1, None]
+    forms = [(g.safe_add, int.__add__), (g.safe_subtract, int.__sub__), (g.safe_multiply, int.__mul__)]
+
+    def want(f, a, b):
+        return None if a is None or b is None or not -(2**63) <= f(a, b) < 2**63 else f(a, b)
+
+    x = spark.createDataFrame([(a, b) for a in edges for b in edges], "a bigint, b bigint").repartition(4)
+    got = x.select("a", "b", *(safe(F.col("a"), F.col("b")).alias(f.__name__) for safe, f in forms)).collect()
+    assert len(got) == len(edges) ** 2
+    assert [tuple(r) for r in got] == [(r.a, r.b, *(want(f, r.a, r.b) for _, f in forms)) for r in got]
+    one = x.where("a IS NULL AND b IS NULL")
+    pairs = [(safe, f, a, b) for safe, f in forms for a in edges[::3] for b in edges[::3]]
+    constant = one.select(*(safe(F.lit(a), F.lit(b)).alias(f"x{i}") for i, (safe, _, a, b) in enumerate(pairs))).first()
+    assert list(constant) == [want(f, a, b) for _, f, a, b in pairs]
+
+
+def below(node):
+    """A node of a Catalyst tree and all beneath it."""
+    kids = node.children()
+    return [node, *(x for i in range(kids.length()) for x in below(kids.apply(i)))]
+
+
+def try_arithmetic(df):
+    """Additions, subtractions and multiplications in a frame's plan that throw and catch an exception for each overflow."""
+    lists = [n.expressions() for n in below(df._jdf.queryExecution().optimizedPlan())]
+    every = [x for e in lists for i in range(e.length()) for x in below(e.apply(i))]
+    kind = lambda x: x.getClass().getSimpleName()
+    return [x.toString() for x in every if kind(x) == "TryEval" or (kind(x) in ("Add", "Subtract", "Multiply") and x.evalMode().toString() == "TRY")]
+
+
+def test_safe_query_throws_no_exception_per_row(spark):
+    from heddle.queries import QUERIES
+
+    assert try_arithmetic(spark.range(2).select(F.try_add("id", F.lit(1))))  # so that it finds them
+    assert not try_arithmetic(QUERIES["q_fn_safe"](spark, "/root/testdata/sf0.001"))
